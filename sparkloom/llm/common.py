@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def sliced(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        ends = np.cumsum([0 if v is None else v for v in pa.compute.binary_length(batch.column(name)).to_pylist()])
+        ends = np.cumsum([0 if v is None else v for v in pc.binary_length(batch.column(name)).to_pylist()])
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup
+from sparkloom.llm import exact_dedup, simhash, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
+    "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_warc": warc.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
