@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, simhash, warc
+from sparkloom.llm import exact_dedup, simhash, sstable, warc
 
 QUERIES = {
+    "op2_sstable": sstable.op2_sstable,
     "op3_warc": warc.op3_warc,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
