@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, packing, simhash, sstable, warc
+from sparkloom.llm import bpe, exact_dedup, packing, simhash, sstable, warc
 
 QUERIES = {
     "op2_sstable": sstable.op2_sstable,
     "op3_warc": warc.op3_warc,
     "op6_packing": packing.op6_packing,
+    "op7_bpe": bpe.op7_bpe,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
