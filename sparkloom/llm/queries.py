@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, exact_dedup, packing, simhash, sstable, warc
+from sparkloom.llm import bpe, ego_join, exact_dedup, packing, simhash, sstable, warc
 
 QUERIES = {
+    "op1_near_vectors": ego_join.op1_near_vectors,
     "op2_sstable": sstable.op2_sstable,
     "op3_warc": warc.op3_warc,
     "op6_packing": packing.op6_packing,
