@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, ego_join, exact_dedup, packing, simhash, sstable, warc
+from sparkloom.llm import bpe, ego_join, exact_dedup, lpf, packing, simhash, sstable, warc
 
 QUERIES = {
     "op1_near_vectors": ego_join.op1_near_vectors,
     "op2_sstable": sstable.op2_sstable,
     "op3_warc": warc.op3_warc,
+    "op5_repeats": lpf.op5_repeats,
     "op6_packing": packing.op6_packing,
     "op7_bpe": bpe.op7_bpe,
     "op9_simhash": simhash.op9_simhash,
