@@ -53,7 +53,8 @@ def _tokens(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.Re
         docs = [np.append(x, np.uint16(END_ID)) for x in encoder.ids(texts(batch))]
         routes = []
         for x in docs:
-            terms = np.flatnonzero(np.bincount(x, minlength=1))
+            terms = np.sort(x)
+            terms = terms[np.r_[True, terms[1:] != terms[:-1]]]
             stats[terms] += 1
             a, b = hashes[:, terms].min(axis=1).tolist()
             routes.append(a << 31 | b)
