@@ -158,6 +158,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double")
 
 
+def _accepted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, "text"):
+        asked = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])
+        found = next(_predict(iter([asked]), model)) if batch.num_rows else asked
+        yield batch.filter(pa.array([x != UNDETERMINED for x in found.column("lang_pred").to_pylist()], pa.bool_()))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text has a language, with all their columns; those that predict() calls `und` go."""
+    return docs.mapInArrow(lambda it: _accepted(it, model), docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
 
