@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from sparkloom.plans import queries_retrieval
+
+_FAMILIES = (queries_retrieval,)
+QUERIES = {k: q for family in _FAMILIES for k, q in family.QUERIES.items()}
+ORACLE_SQL = {k: q for family in _FAMILIES for k, q in family.ORACLE_SQL.items()}
+FLAGSHIP = "search"
