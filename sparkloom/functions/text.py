@@ -95,8 +95,8 @@ def size_label(size: Column) -> Column:
     """Bytes for people."""
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1024 * 1024, F.concat(F.format_string("%.1f", size / 1024.0), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.1f", size / 1048576.0), F.lit(" MB")))
+        .when(size < 1024 * 1024, F.concat(F.format_string("%.1f", F.round(size / 1024.0, 1)), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.1f", F.round(size / 1048576.0, 1)), F.lit(" MB")))
     )
 
 
