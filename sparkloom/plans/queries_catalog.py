@@ -87,7 +87,7 @@ def t3_delete_repo(spark, sf):
 
 
 def t4_delete_document(spark, sf):
-    return catalog.document_to_delete(files(spark, sf), "f7.pdf").select("id", "full_path")
+    return catalog.document_to_delete(files(spark, sf), "f4.pdf").select("id", "full_path")
 
 
 def t5_delete_group(spark, sf):
@@ -159,7 +159,7 @@ ORACLE_SQL = {
     "t1_documents": f"WITH {FILES} SELECT split_part(full_path, '/', -1) AS filename, file_type, size_bytes, created_at, storage_object_id, coalesce(group_id, '') AS \"group\" FROM files WHERE status = 'completed' AND collection = 'general' ORDER BY coalesce(created_at, '') DESC, storage_object_id LIMIT 500",
     "e4_repos": f"WITH {_NAMES}, last AS (SELECT * FROM files WHERE status = 'completed' AND collection = 'codebase' QUALIFY row_number() OVER (PARTITION BY repo_name ORDER BY id DESC) = 1) SELECT n.repo_name, l.storage_object_id, l.size_bytes, l.created_at FROM names n LEFT JOIN last l USING (repo_name)",
     "t3_delete_repo": f"WITH {FILES} SELECT id, status FROM files WHERE NOT coalesce(repo_name = 'repo3' AND status = 'completed', false)",
-    "t4_delete_document": f"WITH {FILES} SELECT id, full_path FROM files WHERE status = 'completed' AND split_part(full_path, '/', -1) = 'f7.pdf' ORDER BY id LIMIT 1",
+    "t4_delete_document": f"WITH {FILES} SELECT id, full_path FROM files WHERE status = 'completed' AND split_part(full_path, '/', -1) = 'f4.pdf' ORDER BY id LIMIT 1",
     "t5_delete_group": f"WITH {_WEB} SELECT id FROM w WHERE NOT (\"group\" = 'g1' AND doc_type <> 'website')",
     "t6_clear": f"WITH {_WEB} SELECT id FROM w WHERE doc_type = 'website'",
     "t7_delete_website": f"WITH {_WEB} SELECT id FROM w WHERE NOT (doc_type = 'website' AND url = 'https://w3.example')",
