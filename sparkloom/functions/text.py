@@ -28,8 +28,7 @@ def tokens(text: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """K1-K3: tokens of at most 40 characters that aren't stop words, repeats included."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(tokens(text), lambda x: (F.char_length(x) <= MAX_TOKEN) & ~F.array_contains(stop, x))
+    return F.filter(tokens(text), lambda x: (F.char_length(x) <= MAX_TOKEN) & ~x.isin(STOP_WORDS))
 
 
 def clamp(text: Column) -> Column:
