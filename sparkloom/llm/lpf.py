@@ -174,7 +174,8 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) ->
         anchor = (best[starts] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)])
         at = anchor[cuts]
-        yield low, rolling, hashes[at], at, starts[cuts], np.diff(np.r_[cuts, len(starts)])
+        # Least hashes are all small: times an odd number they are spread over all buckets again.
+        yield low, rolling, hashes[at] * np.uint64(BASE), at, starts[cuts], np.diff(np.r_[cuts, len(starts)])
 
 
 def _grams(rolling: Rolling, n: int, gram: int) -> np.ndarray:
