@@ -17,7 +17,7 @@ import numpy as np
 _ODD = re.compile(r" (?=\s|\Z)")
 _SAFE = re.compile(r" (?=\S)")
 #: Pieces kept in a Python worker; the tables start anew when they are full.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 1_600_000
 #: Longer pieces aren't kept.
 KEPT_CHARS = 64
 #: Letters below this are letters in every version of Unicode.
@@ -87,12 +87,13 @@ class PieceEncoder:
         first, spaced = self.tables[""], self.tables[" "]
         split = [split_pieces(t) for t in texts]
         found = [list(map(spaced.get, rest)) for _, rest in split]
-        missing = {p for (_, rest), got in zip(split, found, strict=True) if None in got for p, x in zip(rest, got, strict=True) if x is None}
+        gaps = [[i for i, x in enumerate(got) if x is None] if None in got else () for got in found]
+        missing = {rest[i] for (_, rest), at in zip(split, gaps, strict=True) for i in at}
         long = [(spaced, p) for p in self._learn(" ", missing)] + [(first, p) for p in self._learn("", {a for a, _ in split if a not in first})]
         out = []
-        for (a, rest), got in zip(split, found, strict=True):
-            if None in got:
-                got = [spaced[p] if x is None else x for p, x in zip(rest, got, strict=True)]
+        for (a, rest), got, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                got[i] = spaced[rest[i]]
             out.append(np.frombuffer(first[a] + b"".join(got), "<u2"))
         for table, p in long:
             table.pop(p, None)
