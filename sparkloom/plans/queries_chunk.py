@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.operators import chunk, jobs
+from sparkloom.operators import chunk, jobs, views
 from sparkloom.plans.common import FILES, JOBS, files, t
 from sparkloom.plans.common import jobs as job_rows
 from sparkloom.sources import crawl, html
@@ -131,7 +133,10 @@ def t9_active_jobs(spark, sf):
 
 
 def _events(spark, sf):
-    e = t(spark, sf, "events")
+    return _event_rows(t(spark, sf, "events"))
+
+
+def _event_rows(e):
     return e.select(
         F.col("event_id").alias("seq"), F.concat(F.lit("job-"), F.col("user_id") % 500).alias("job_id"), F.when(F.col("event_id") % 37 == 0, "job_finished").when(F.col("event_id") % 41 == 0, "job_failed").otherwise("job_progress").alias("event"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 101).cast("int")).alias("percentage"),
         F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("message"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("f"), F.col("event_id") % 9)).alias("file_name"), F.when(F.col("event_id") % 2 == 0, "RUNNING").alias("status"), F.lit(None).cast("string").alias("result"), F.when(F.col("event_id") % 41 == 0, "bad").alias("error"),
@@ -146,12 +151,47 @@ def q10_changes(spark, sf):
     return tracker.changes(_events(spark, sf)).select("seq", "job_id")
 
 
+def q10_stream(spark, sf):
+    """The tracker as a stream that runs until its input is done; the last state of every job."""
+    schema = t(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    name = f"tracked_{uuid.uuid4().hex}"
+    query = tracker.track(_event_rows(events)).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    w = W.partitionBy("job_id").orderBy(F.desc("events"))
+    return spark.table(name).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def s3_path_tree(spark, sf):
+    return views.path_tree(t(spark, sf, "pages").where("url IS NOT NULL"))
+
+
+def s7_options(spark, sf):
+    p = t(spark, sf, "part").select(F.when(F.col("p_partkey") == 7, "default").otherwise(F.col("p_brand")).alias("name"))
+    return views.options(p, "name", "D")
+
+
+def k28_labels(spark, sf):
+    f = files(spark, sf)
+    return f.select("id", views.day_label(F.col("created_at")).alias("day"))
+
+
+def b13_snapshots(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("table"), F.col("o_orderkey").alias("stamp"))
+    return views.kept_snapshots(o)
+
+
+def i3_scope_union(spark, sf):
+    p = t(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 != 0, F.array(F.col("p_brand"), F.lit("x"))).alias("a"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("x"), F.col("p_type"))).alias("b"))
+    return views.scope_union(p, "a", "b").select("p_partkey", F.array_join("scope", ",").alias("scope"))
+
+
 def k26_progress(spark, sf):
     p = t(spark, sf, "part").select("p_partkey", jobs.linear_progress(F.col("p_size"), F.lit(50), 10, 95).alias("progress"))
     return p
 
 
-QUERIES = {f.__name__: f for f in (g1_neighbours, g3_running_index, n7_merge, c10_embedding_text, c7_metadata, e8_matched_links, n4_chunks, n9_web_chunks, m1_sections, m5_page_links, m9_crawl, a6_html_text, q3_claim, q4_reclaim, q5_reset, b11_progress, e11_file_status, t9_active_jobs, q10_tracker, q10_changes, k26_progress)}
+QUERIES = {f.__name__: f for f in (g1_neighbours, g3_running_index, n7_merge, c10_embedding_text, c7_metadata, e8_matched_links, n4_chunks, n9_web_chunks, m1_sections, m5_page_links, m9_crawl, a6_html_text, q3_claim, q4_reclaim, q5_reset, b11_progress, e11_file_status, t9_active_jobs, q10_tracker, q10_changes, q10_stream, s3_path_tree, s7_options, k28_labels, b13_snapshots, i3_scope_union, k26_progress)}
 
 _EVENTS = """e AS (SELECT event_id AS seq, 'job-' || (user_id % 500) AS job_id, CASE WHEN event_id % 37 = 0 THEN 'job_finished' WHEN event_id % 41 = 0 THEN 'job_failed' ELSE 'job_progress' END AS event, CASE WHEN event_id % 3 != 0 THEN CAST(event_id % 101 AS INTEGER) END AS percentage,
     CASE WHEN event_id % 5 = 0 THEN event_type END AS message, CASE WHEN event_id % 7 = 0 THEN 'f' || (event_id % 9) END AS file_name, CASE WHEN event_id % 2 = 0 THEN 'RUNNING' END AS status, CAST(NULL AS VARCHAR) AS result, CASE WHEN event_id % 41 = 0 THEN 'bad' END AS error FROM events)"""
@@ -177,5 +217,13 @@ ORACLE_SQL = {
     "t9_active_jobs": f"WITH {JOBS} SELECT count(*) AS active, CAST(sum(id) AS BIGINT) AS ids FROM jobs WHERE status IN ('PENDING', 'RUNNING')",
     "q10_tracker": f"WITH {_EVENTS} SELECT job_id, {', '.join(_FIELD.format(c) for c in tracker.FIELDS)}, bool_or(event IN ('job_finished', 'job_failed')) AS completed, count(*) AS events FROM e GROUP BY job_id",
     "q10_changes": f"WITH {_EVENTS}, x AS (SELECT seq, job_id, row_number() OVER w > 1 AND {_LAG} AS same FROM e WINDOW w AS (PARTITION BY job_id ORDER BY seq)) SELECT seq, job_id FROM x WHERE NOT same",
+    "q10_stream": f"WITH {_EVENTS} SELECT job_id, {', '.join(_FIELD.format(c) for c in tracker.FIELDS)}, bool_or(event IN ('job_finished', 'job_failed')) AS completed, count(*) AS events FROM e GROUP BY job_id",
+    "s3_path_tree": """WITH p AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages WHERE url IS NOT NULL),
+        n AS (SELECT host, parts, unnest(range(1, len(parts) + 1)) AS depth FROM p)
+        SELECT host, '/' || array_to_string(parts[1:depth], '/') AS full_path, parts[depth] AS segment, CAST(depth AS INTEGER) AS depth, count(*) AS pages, bool_or(len(parts) > depth) AS is_branch, bool_or(len(parts) = depth) AS is_page FROM n GROUP BY ALL""",
+    "s7_options": "SELECT DISTINCT CASE WHEN p_partkey = 7 THEN 'default' ELSE p_brand END AS name FROM part WHERE contains(lower(CASE WHEN p_partkey = 7 THEN 'default' ELSE p_brand END), 'd')",
+    "k28_labels": f"WITH {FILES} SELECT id, strftime(strptime(created_at, '%Y-%m-%dT%H:%M:%SZ'), '%b %-d, %Y') AS day FROM files",
+    "b13_snapshots": "SELECT o_orderstatus AS \"table\", o_orderkey AS stamp FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey DESC) <= 5",
+    "i3_scope_union": "SELECT p_partkey, CASE WHEN p_partkey % 3 != 0 AND p_partkey % 2 = 0 THEN p_brand || ',x,' || p_type WHEN p_partkey % 3 != 0 THEN p_brand || ',x' WHEN p_partkey % 2 = 0 THEN 'x,' || p_type ELSE '' END AS scope FROM part",
     "k26_progress": "SELECT p_partkey, CAST(least(greatest(floor(p_size * 85 / 50.0) + 10, 10), 95) AS INTEGER) AS progress FROM part",
 }
