@@ -118,7 +118,7 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h ^ h >> 16
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 19)
 def term_of(token: str) -> tuple[str, int]:
     s = stem(token)
     h = murmur3(s.encode())
