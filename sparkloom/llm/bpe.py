@@ -167,16 +167,18 @@ class MatrixEncoder(PieceEncoder):
 
     def __init__(self, bpe: ByteBpe):
         self.bpe, self.words = bpe, {}
-        self.tables = {"": {"": b""}, " ": {}}
+        self.tables, self.old = {"": {"": b""}, " ": {}}, {"": {}, " ": {}}
 
     def _learn(self, space: str, missing: Iterable[str]) -> list[str]:
-        if len(self.words) > 500_000:
+        if len(self.words) > 300_000:
             self.words = {}
-        cut = {p: [space + p] if is_word(p) else self.bpe.pattern.findall(space + p) for p in missing}
+        old, table = self.old[space], self.tables[space]
+        table.update((p, old[p]) for p in missing if p in old)
+        cut = {p: [space + p] if is_word(p) else self.bpe.pattern.findall(space + p) for p in missing if p not in old}
         fresh = list({x for xs in cut.values() for x in xs if x not in self.words})
         self.words.update(zip(fresh, self.bpe.encode_pieces([x.encode() for x in fresh]), strict=True))
         of = self.words.__getitem__
-        self.tables[space].update((p, b"".join(map(of, xs))) for p, xs in cut.items())
+        table.update((p, b"".join(map(of, xs))) for p, xs in cut.items())
         for x in fresh:
             if len(x) > 64:
                 del self.words[x]

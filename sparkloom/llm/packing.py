@@ -1,7 +1,9 @@
 """Lexical retrieval packing: sequences of at most 2048 tokens from documents that are lexical neighbours.
 
-Two min-hashes of its tokens route a document to a shard, a range of the routing order bounded in tokens; near texts meet in a
-shard, and a text that many rows hold spreads over as many shards as it fills. Every shard has an inverted BM25 index over all of
+A document longer than a window fills windows of its own, and its rest is packed like any other; so long documents don't travel,
+and no task gets more than a window's tokens of any of them. Two min-hashes of its tokens route a rest to a shard, a range of the
+routing order bounded in tokens; near texts meet in a shard, and a text that many rows hold spreads over as many shards as it fills.
+Every shard has an inverted BM25 index over all of
 its documents, with document frequencies and lengths of the whole corpus. The first document of a window is its seed: its
 heaviest terms are looked up, and unused neighbours fill the window in the order of their scores, the last one cut where the
 window ends; its rest is the seed of the next window. What is left at the end of a shard is cut into sequences of powers of two,
@@ -29,7 +31,7 @@ SHARD_TOKENS = 2 << 20
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 32
 #: Tasks in which document frequencies meet before the driver adds them (VOCABULARY numbers each).
 STAT_TASKS = 32
-TOKENS = "doc_id long, ids binary, route long, stats binary"
+TOKENS = "doc_id long, ids binary, start long, doc_tokens long, route long, ids_crc32 long, sequence_id long, stats binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,23 +47,36 @@ def _hash_tables() -> np.ndarray:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
-    """A row per document, and at the end one row with the task's document frequencies, documents and tokens."""
+    """A row with ids for each document's rest, one with a sequence for each window that it fills alone, and at the end one with
+    the task's document frequencies, documents and tokens."""
+    from pyspark import TaskContext
+
     encoder, hashes = library_encoder(tokenizer), _hash_tables()
     stats = np.zeros(VOCABULARY + 2, np.int64)
-    names = ["doc_id", "ids", "route", "stats"]
+    sequence = 1 << 62 | TaskContext.get().partitionId() << 32  # apart from the shards' numbers
+    kinds = (pa.int64(), pa.binary(), *[pa.int64()] * 5, pa.binary())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
+
     for batch in sliced(batches, "text"):
-        docs = [np.append(x, np.uint16(END_ID)) for x in encoder.ids(texts(batch))]
-        routes = []
-        for x in docs:
+        rows = []
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(texts(batch)), strict=True):
+            x = np.append(ids, np.uint16(END_ID))
             terms = np.sort(x)
             terms = terms[np.r_[True, terms[1:] != terms[:-1]]]
             stats[terms] += 1
-            a, b = hashes[:, terms].min(axis=1).tolist()
-            routes.append(a << 31 | b)
-        stats[-2:] += len(docs), sum(map(len, docs))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in docs], pa.binary()), pa.array(routes, pa.int64()), pa.nulls(len(docs), pa.binary())], names=names)
+            stats[-2:] += 1, len(x)
+            full = len(x) // WINDOW * WINDOW
+            for start in range(0, full, WINDOW):
+                rows.append((doc_id, None, start, len(x), None, zlib.crc32(x[start : start + WINDOW].astype("<u4").tobytes()), sequence, None))
+                sequence += 1
+            if full < len(x):
+                a, b = hashes[:, x[full:]].min(axis=1).tolist()
+                rows.append((doc_id, x[full:].tobytes(), full, len(x), a << 31 | b, None, None, None))
+        yield out(rows)
     if stats[-2]:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([stats.tobytes()], pa.binary())], names=names)
+        yield out([(*[None] * 7, stats.tobytes())])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,25 +184,26 @@ def _pack(batches: Iterator[pa.RecordBatch], stats: bytes) -> Iterator[pa.Record
     numbers = np.frombuffer(stats, np.int64)
     df, n, tokens = numbers[:VOCABULARY].astype(np.float64), numbers[-2], numbers[-1]
     idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), tokens / max(n, 1)
-    base, held, ids, size = TaskContext.get().partitionId() << 32, [], [], 0
+    base, held, of, size = TaskContext.get().partitionId() << 32, [], [], 0
 
     def packed():
         nonlocal base
         found = pack_shard(held, idf, mean)
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*found, strict=True))
         crc = [zlib.crc32(held[d][s : s + n].astype("<u4").tobytes()) for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-        out = [pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array([len(held[d]) for d in doc.tolist()], pa.int64()), pa.array(sequence + base), pa.array(offset)]
+        ids, before, tokens_of = zip(*(of[d] for d in doc.tolist()), strict=True)
+        out = [pa.array(ids, pa.int64()), pa.array(start + np.array(before)), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens_of, pa.int64()), pa.array(sequence + base), pa.array(offset)]
         base += int(sequence.max()) + 1
         return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in PIECES.split(", ")])
 
     for batch in batches:
-        for doc_id, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+        for x, *row in zip(*(batch.column(c).to_pylist() for c in ("ids", "doc_id", "start", "doc_tokens")), strict=True):
             held.append(np.frombuffer(x, "<u2"))
-            ids.append(doc_id)
+            of.append(row)
             size += len(held[-1])
             if size >= SHARD_TOKENS:
                 yield packed()
-                held, ids, size = [], [], 0
+                held, of, size = [], [], 0
     if held:
         yield packed()
 
@@ -202,8 +218,10 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     encoded = materialize(rows.mapInArrow(lambda it: _tokens(it, tokenizer), TOKENS), "tokens")
     met = encoded.where("stats is not null").select("stats").repartition(STAT_TASKS).mapInArrow(_summed, "stats binary")
     stats = sum((np.frombuffer(r.stats, np.int64) for r in met.collect()), np.zeros(VOCABULARY + 2, np.int64)).tobytes()
-    routed = encoded.where("stats is null").select("doc_id", "ids", "route").repartitionByRange("route", "doc_id").sortWithinPartitions("route", "doc_id")
-    return routed.select("doc_id", "ids").mapInArrow(lambda it: _pack(it, stats), PIECES)
+    alone = encoded.where("sequence_id is not null").select("doc_id", "start", F.lit(WINDOW).cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
+    rests = encoded.where("ids is not null").select("doc_id", "ids", "start", "doc_tokens", "route")
+    routed = rests.repartitionByRange("route", "doc_id").sortWithinPartitions("route", "doc_id")
+    return alone.unionByName(routed.select("doc_id", "ids", "start", "doc_tokens").mapInArrow(lambda it: _pack(it, stats), PIECES))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ import numpy as np
 #: A space before white space (or at the end): there the rule above says nothing, and the text is cut elsewhere.
 _ODD = re.compile(r" (?=\s|\Z)")
 _SAFE = re.compile(r" (?=\S)")
-#: Pieces kept in a Python worker; the tables start anew when they are full.
-KEPT_PIECES = 1_600_000
+#: Pieces kept in a Python worker. When half of them are new, the older half is forgotten but for what has been used since.
+KEPT_PIECES = 800_000
 #: Longer pieces aren't kept.
 KEPT_CHARS = 64
 #: Letters below this are letters in every version of Unicode.
@@ -48,6 +48,7 @@ class PieceEncoder:
         self.encode_word, self.encode_others = encode_word, encode_others
         self.marks = {m: self._packed(x) for m, x in zip((",", ".", "\n"), encode_others([",", ".", "\n"]), strict=True)}
         self.tables: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
+        self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -56,6 +57,8 @@ class PieceEncoder:
     def _known(self, space: str, piece: str) -> bytes | None:
         """Of a piece that is a word, or a word before a comma or full stop, or two such pieces around a newline; the word is kept."""
         table = self.tables[space]
+        if (found := self.old[space].get(piece)) is not None:
+            return found
         if is_word(piece):
             table[piece] = out = self._packed(self.encode_word(space + piece))
             return out
@@ -82,8 +85,8 @@ class PieceEncoder:
         return [p for p in missing if len(p) > KEPT_CHARS]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if sum(map(len, self.tables.values())) > KEPT_PIECES:
-            self.tables = {"": {"": b""}, " ": {}}
+        if sum(map(len, self.tables.values())) > KEPT_PIECES // 2:
+            self.old, self.tables = self.tables, {"": {"": b""}, " ": {}}
         first, spaced = self.tables[""], self.tables[" "]
         split = [split_pieces(t) for t in texts]
         found = [list(map(spaced.get, rest)) for _, rest in split]
