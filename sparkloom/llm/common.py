@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_release: list[Callable[[], None]] = []
+
+
+def on_release(clear: Callable[[], None]) -> None:
+    """Registers what frees a table that a Python worker keeps between tasks."""
+    _release.append(clear)
+
+
+def release_kept() -> None:
+    """Frees such tables, and gives free memory back. For tasks of other operators: workers live on from stage to stage."""
+    if _release:
+        for clear in _release:
+            clear()
+        with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import byte_rows, held_out, sliced, table, texts
+from sparkloom.llm.common import byte_rows, held_out, release_kept, sliced, table, texts
 
 GRAM = 5
 #: Bounds of the fit: labelled rows, n-grams of a language, languages (a bit each).
@@ -110,6 +110,7 @@ def build(rows: list[tuple[str, int, int]], totals: dict[str, int], slots: int =
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_kept()
     for batch in sliced(batches, "text"):
         langs = np.array(batch.column("lang").to_pylist())
         key, cuts = grams(*byte_rows(batch))
@@ -131,6 +132,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    release_kept()
     for batch in sliced(batches, "text"):
         shares = model.shares(*byte_rows(batch))
         best = shares.argmax(axis=1) if model.languages else np.zeros(len(shares), np.int64)
@@ -159,6 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _accepted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    release_kept()
     for batch in sliced(batches, "text"):
         asked = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])
         found = next(_predict(iter([asked]), model)) if batch.num_rows else asked

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import byte_rows, filesystem, materialize, scratch, shuffle_partitions, sliced, table, write_bytes
+from sparkloom.llm.common import byte_rows, filesystem, materialize, release_kept, scratch, shuffle_partitions, sliced, table, write_bytes
 
 LEAST, GRAM = 200, 100
 CHUNK_BYTES = 8 << 20
@@ -212,6 +212,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _write_chunks(batches: Iterator[pa.RecordBatch], folder: str, text_col: str) -> Iterator[pa.RecordBatch]:
+    release_kept()
     held, size = [], 0
 
     def written() -> pa.RecordBatch:

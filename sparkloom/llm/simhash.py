@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, sliced, table, texts
+from sparkloom.llm.common import materialize, release_kept, sliced, table, texts
 from sparkloom.llm.components import connected_components, forest
 
 SEED = 42
@@ -51,6 +51,7 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    release_kept()
     for batch in sliced(batches, "text"):
         found = np.array([fingerprint(t, width) for t in texts(batch)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])

@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from sparkloom.llm.common import on_release
+
 #: A space before white space (or at the end): there the rule above says nothing, and the text is cut elsewhere.
 _ODD = re.compile(r" (?=\s|\Z)")
 _SAFE = re.compile(r" (?=\S)")
@@ -50,6 +52,9 @@ class PieceEncoder:
         self.tables: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
         self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
+    def forget(self) -> None:
+        self.old, self.tables = {"": {}, " ": {}}, {"": {"": b""}, " ": {}}
+
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return array("H", ids).tobytes()
@@ -130,4 +135,6 @@ def library_encoder(path: str) -> PieceEncoder:
             return [t.id for t in tokenize(word.replace(" ", shown_space))]
         return [t.id for t in tokenize(word.encode().decode("latin-1").translate(shown))]
 
-    return PieceEncoder(encode_word, lambda pieces: (e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)))
+    encoder = PieceEncoder(encode_word, lambda pieces: (e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)))
+    on_release(encoder.forget)
+    return encoder
