@@ -28,13 +28,13 @@ LONG = 4096
 BLOCK = 1024
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+def shingles(text: str, width: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles in their order; fewer than `width` words make one, no words none."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only; splits at 20 and 09-0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -43,7 +43,12 @@ def fingerprint(text: str, width: int = 3) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((of(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str, width: int = 3) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    hashes = shingles(text, width)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounded memory for texts of any length
         ones += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
