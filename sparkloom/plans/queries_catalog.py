@@ -73,7 +73,7 @@ def c5_files(spark, sf):
 
 
 def t1_documents(spark, sf):
-    return catalog.list_documents(files(spark, sf)).limit(500)
+    return catalog.list_documents(files(spark, sf))
 
 
 def e4_repos(spark, sf):
