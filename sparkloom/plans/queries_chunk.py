@@ -28,7 +28,7 @@ def g1_neighbours(spark, sf):
 
 def g3_running_index(spark, sf):
     """Positions over all lines of a source's documents."""
-    d = t(spark, sf, "documents").where("n_chars < 3000").select(F.col("source").alias("file_name"), F.col("doc_id").alias("source_idx"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("piece", "content"))
+    d = t(spark, sf, "documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("source_idx"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("piece", "content"))
     w = W.partitionBy("file_name").orderBy("source_idx", "piece")
     return d.select("file_name", "source_idx", "piece", (F.row_number().over(w) - 1).alias("chunk_index"))
 

@@ -18,3 +18,21 @@ def test_t1_documents_has_no_row_cap(spark, tmp_path):
     want = [f"obj-{k}" for k, _ in sorted(sorted(kept, key=lambda r: f"obj-{r[0]}"), key=lambda r: r[1], reverse=True)]
     assert len(want) == 800
     assert [r.storage_object_id for r in registry.QUERIES["t1_documents"](spark, sf).collect()] == want
+
+
+def documents(spark, tmp_path):
+    rows = [(i, "\n".join(f"{i} line {j} " + "x" * (j * 37 % 150) for j in range(2 + i * 17 % 120)), "s%d" % (i % 2)) for i in range(12)] + [(12, None, "s0"), (13, "é\n" * 900, "s1")]
+    rows = [(i, t, s, None if i == 5 or t is None else len(t)) for i, t, s in rows]
+    assert any((n or 0) >= 4000 for *_, n in rows)
+    return rows, write(spark, rows, "doc_id long, text string, source string, n_chars long", tmp_path, "documents")
+
+
+def test_g3_running_index_counts_long_documents(spark, tmp_path):
+    rows, sf = documents(spark, tmp_path)
+    want, at = set(), {}
+    for i, text, source, _ in rows:
+        for piece, _ in enumerate((text or "").split("\n")):
+            want.add((source, i, piece, at.get(source, 0)))
+            at[source] = at.get(source, 0) + 1
+    got = registry.QUERIES["g3_running_index"](spark, sf).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
