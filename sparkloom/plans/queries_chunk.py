@@ -34,7 +34,7 @@ def g3_running_index(spark, sf):
 
 
 def n7_merge(spark, sf):
-    d = t(spark, sf, "documents").where("n_chars < 4000").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    d = t(spark, sf, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     return d.select("doc_id", F.posexplode(chunk.merge_small_column(F.col("lines"), 100)).alias("i", "c")).select("doc_id", "i", F.octet_length("c").alias("bytes"))
 
 

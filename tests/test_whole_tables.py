@@ -36,3 +36,19 @@ def test_g3_running_index_counts_long_documents(spark, tmp_path):
             at[source] = at.get(source, 0) + 1
     got = registry.QUERIES["g3_running_index"](spark, sf).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_n7_merge_takes_long_documents(spark, tmp_path):
+    rows, sf = documents(spark, tmp_path)
+    want = set()
+    for i, text, *_ in rows:
+        done, held = [], None
+        for line in (text or "").split("\n"):
+            held = line if held is None else held + "\n" + line
+            if len(held.encode()) >= 400:
+                done.append(held)
+                held = None
+        done += [] if held is None else [held]
+        want |= {(i, k, len(c.encode())) for k, c in enumerate(done)}
+    got = registry.QUERIES["n7_merge"](spark, sf).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
