@@ -54,9 +54,9 @@ def c7_metadata(spark, sf):
 
 
 def e8_matched_links(spark, sf):
-    """Links of a conversation are words of its first turn; a turn has those that it contains."""
+    """Links of a conversation are the words of its first turn that have four bytes or more; a turn has those that it contains."""
     turns = _turns(spark, sf)
-    words = turns.where("chunk_index = 0").select("page_id", F.posexplode(F.slice(F.array_distinct(F.filter(F.split("content", " "), lambda w: F.octet_length(w) >= 4)), 1, 12)).alias("pos", "anchor_text"))
+    words = turns.where("chunk_index = 0").select("page_id", F.posexplode(F.array_distinct(F.filter(F.split("content", " "), lambda w: F.octet_length(w) >= 4))).alias("pos", "anchor_text"))
     links = words.withColumn("href", F.concat(F.lit("https://e/"), "pos"))
     got = chunk.matched_links(turns, links)
     return got.select("page_id", "chunk_index", F.size("links").alias("links"))

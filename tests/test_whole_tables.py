@@ -52,3 +52,11 @@ def test_n7_merge_takes_long_documents(spark, tmp_path):
         want |= {(i, k, len(c.encode())) for k, c in enumerate(done)}
     got = registry.QUERIES["n7_merge"](spark, sf).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_e8_matched_links_takes_all_words(spark, tmp_path):
+    first = " ".join(f"word{i:02}" for i in range(30)) + " abc word03"
+    rows = [(1, 0, first), (1, 1, "word29 word02 word15 abc"), (1, 2, None), (2, 0, "other"), (2, 1, "word29")]
+    sf = write(spark, rows, "conv_id long, turn int, text string", tmp_path, "conversations")
+    got = {(r.page_id, r.chunk_index): r.links for r in registry.QUERIES["e8_matched_links"](spark, sf).collect()}
+    assert got == {(1, 0): 30, (1, 1): 3, (1, 2): 0, (2, 0): 1, (2, 1): 0}
