@@ -84,14 +84,14 @@ def _posting_pairs(key: np.ndarray, fp: np.ndarray, divide: bool = True) -> Iter
         if n > LONG and divide:
             own = fp[s : s + n]
             octets = own.view(np.uint8).reshape(-1, 8)
-            for two in combinations(range(8), 2):  # pairs share 5 positions: beside the key's 3, at least 2 more
-                sub = octets[:, two[0]].astype(np.int64) << 8 | octets[:, two[1]]
-                order = np.argsort(sub, kind="stable")
-                if (sub == sub[0]).all():
-                    continue
-                for i, j in _posting_pairs(sub[order], np.ascontiguousarray(own[order]), False):
-                    yield s + order[i], s + order[j]
-            continue
+            others = [p for p in range(8) if p not in TRIPLES[int(key[s]) >> 24]]
+            if (octets[:, others] == octets[0, others]).all(axis=0).sum() < 2:  # else a division would leave the posting whole
+                for two in combinations(others, 2):  # pairs share 5 positions: beside the key's 3, at least 2 more
+                    sub = octets[:, two[0]].astype(np.int64) << 8 | octets[:, two[1]]
+                    order = np.argsort(sub, kind="stable")
+                    for i, j in _posting_pairs(sub[order], np.ascontiguousarray(own[order]), False):
+                        yield s + order[i], s + order[j]
+                continue
         for i in range(0, n, BLOCK):
             for j in range(i, n, BLOCK):
                 a, b = np.arange(s + i, s + min(n, i + BLOCK)), np.arange(s + j, s + min(n, j + BLOCK))

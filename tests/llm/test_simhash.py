@@ -76,3 +76,13 @@ def test_long_postings_lose_no_link(long, monkeypatch):
     else:  # the key's three positions are assumed equal by the division; here only pairs with two more equal bytes are promised
         octets = fp.view(np.uint8).reshape(-1, 8)
         assert {p for p in want if (octets[p[0]] == octets[p[1]]).sum() >= 2} == got
+
+
+def test_long_postings_that_divide_no_further(monkeypatch):
+    """All entries share bytes 0-4; pairs with one differing bit in each of the others share no further byte."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "LONG", 100)
+    fp = np.array([7 | a << 40 | b << 48 | c << 56 for a in range(6) for b in range(6) for c in range(6)], np.uint64)
+    got = {tuple(sorted(p)) for i, j in simhash._posting_pairs(np.zeros(len(fp), np.int64), fp) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
