@@ -60,3 +60,9 @@ def test_e8_matched_links_takes_all_words(spark, tmp_path):
     sf = write(spark, rows, "conv_id long, turn int, text string", tmp_path, "conversations")
     got = {(r.page_id, r.chunk_index): r.links for r in registry.QUERIES["e8_matched_links"](spark, sf).collect()}
     assert got == {(1, 0): 30, (1, 1): 3, (1, 2): 0, (2, 0): 1, (2, 1): 0}
+
+
+def test_h11_display_cut_takes_any_key(spark, tmp_path):
+    rows = [(k, n, k * n) for k in range(36, 60) for n in (2, 1)]
+    sf = write(spark, rows, "l_orderkey long, l_linenumber int, l_partkey long", tmp_path, "lineitem")
+    assert [tuple(r) for r in registry.QUERIES["h11_display_cut"](spark, sf).collect()] == sorted(rows)[:25]
