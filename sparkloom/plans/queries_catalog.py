@@ -156,7 +156,7 @@ ORACLE_SQL = {
         SELECT z.id, z.zip_filename, CASE WHEN g.others = 0 THEN g.wanted ELSE z.repo_name END AS repo_name FROM z LEFT JOIN g USING (zip_filename)""",
     "b8_set_payload": f"WITH {POINTS} SELECT id, CASE WHEN doc_type = 'txt' THEN 'moved' ELSE \"group\" END AS \"group\" FROM points",
     "c5_files": f"WITH {FILES} SELECT split_part(full_path, '/', -1) AS filename, file_type, size_bytes, created_at, storage_object_id, coalesce(group_id, '') AS \"group\" FROM files",
-    "t1_documents": f"WITH {FILES} SELECT split_part(full_path, '/', -1) AS filename, file_type, size_bytes, created_at, storage_object_id, coalesce(group_id, '') AS \"group\" FROM files WHERE status = 'completed' AND collection = 'general' ORDER BY coalesce(created_at, '') DESC, storage_object_id LIMIT 500",
+    "t1_documents": f"WITH {FILES} SELECT split_part(full_path, '/', -1) AS filename, file_type, size_bytes, created_at, storage_object_id, coalesce(group_id, '') AS \"group\" FROM files WHERE status = 'completed' AND collection = 'general' ORDER BY coalesce(created_at, '') DESC, storage_object_id",
     "e4_repos": f"WITH {_NAMES}, last AS (SELECT * FROM files WHERE status = 'completed' AND collection = 'codebase' QUALIFY row_number() OVER (PARTITION BY repo_name ORDER BY id DESC) = 1) SELECT n.repo_name, l.storage_object_id, l.size_bytes, l.created_at FROM names n LEFT JOIN last l USING (repo_name)",
     "t3_delete_repo": f"WITH {FILES} SELECT id, status FROM files WHERE NOT coalesce(repo_name = 'repo3' AND status = 'completed', false)",
     "t4_delete_document": f"WITH {FILES} SELECT id, full_path FROM files WHERE status = 'completed' AND split_part(full_path, '/', -1) = 'f4.pdf' ORDER BY id LIMIT 1",

@@ -210,7 +210,7 @@ ORACLE_SQL = {
     "h2_limits": """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 10 != 0 THEN p_size * 3 - 20 END AS n, CASE WHEN p_partkey % 7 != 0 THEN p_size - 5 END AS cap FROM part),
         l AS (SELECT *, least(greatest(coalesce(n, 10), 1), 100) AS lim FROM n)
         SELECT p_partkey, lim AS "limit", lim * CASE WHEN lim <= 10 THEN 5 WHEN lim <= 25 THEN 4 WHEN lim <= 50 THEN 3 ELSE 2 END AS fetch, lim * 4 AS prefetch, least(CASE WHEN n > 0 THEN n ELSE 5 END, CASE WHEN cap > 0 THEN cap ELSE 5 END) AS shown FROM l""",
-    "h11_display_cut": "SELECT l_orderkey AS request_idx, l_linenumber AS rank, l_partkey AS id FROM lineitem WHERE l_orderkey < 40 ORDER BY 1, 2 LIMIT 25",
+    "h11_display_cut": "SELECT l_orderkey AS request_idx, l_linenumber AS rank, l_partkey AS id FROM lineitem ORDER BY 1, 2 LIMIT 25",
     "i1_concatenation": f"WITH {_SPARSE}, sp AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sparse) SELECT 0 AS request_idx, rank, id FROM {_DENSE_40.format(n=5)} UNION ALL SELECT 1, rank, id FROM sp WHERE rank <= 5",
     "g6_top_per_label": f"SELECT * FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VECTOR}) AS score FROM embeddings)) WHERE rank <= 3",
 }

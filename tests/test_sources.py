@@ -130,3 +130,19 @@ def test_code_table(spark):
     files = spark.createDataFrame([(n, t.encode()) for n, (t, _) in SOURCES.items()] + [("node_modules/x.js", b"function f() { }")], "path string, content binary")
     got = chunk_code(files, "r", "t").collect()
     assert {r.file_name for r in got} == set(SOURCES) and all(r.repo_name == "r" for r in got)
+
+
+def test_sql_statements_take_linear_time():
+    import time
+
+    from sparkloom.sources.code.sql import object_name, sql
+
+    body = "CREATE PROCEDURE p AS\nBEGIN\n" + "  UPDATE t SET a = a + 1 WHERE b = 'x; y';\n" * 24_000 + "END;\nCREATE TABLE z (a int);\n"
+    began = time.process_time()
+    assert [r["object_name"] for r in sql("x.sql", body)] == ["p", "z"]
+    assert time.process_time() - began < 2
+    assert object_name("CREATE OR REPLACE PUBLIC SYNONYM s.t FOR u;") == ("s", "t")
+    assert object_name("grant select, insert on [dbo].[Orders] to x") == ("dbo", "Orders")
+    assert object_name("DROP POLICY IF EXISTS p1 ON t;") == (None, "p1")
+    assert object_name("ALTER TABLE t ADD c int") == (None, "t")
+    assert object_name("CREATE TEMPORARY TABLE t (a int)") == (None, None)
