@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -34,6 +35,18 @@ def release_kept() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextlib.contextmanager
+def collector_paused() -> Iterator[None]:
+    """Without Python's search for reference cycles, which makes none here but walks millions of kept objects again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -60,6 +73,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """rows (with a column `salt`) joined with their key's class, without salt. Any part of the rows may share a key: classes are joined to
+    the distinct (key, salt) first, of which a key has few, and rows meet those, so a common key's rows are spread by their salts."""
+    runs = rows.select(key, "salt").distinct().join(classes, key)
+    return rows.join(runs, [key, "salt"]).drop("salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, shuffle_partitions
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,11 +26,19 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def _with_least(e: DataFrame) -> DataFrame:
+    """(u, v, m): the links of e with the least v of each u. A node of very many links is dealt out by v: least by (u, part of v) first,
+    then by u, and the links meet their own part's row."""
+    salted = e.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(max(64, shuffle_partitions(e.sparkSession)))))
+    parts = salted.groupBy("u", "part").agg(F.min("v").alias("least"))
+    return salted.join(parts.select("u", "part").join(parts.groupBy("u").agg(F.min("least").alias("m")), "u"), ["u", "part"]).drop("part")
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has a link to another node; component is the smallest node reachable.
 
     Each round writes the links to the shared folder; the driver sees only their number and a checksum. A node with very many
-    links is never gathered: each step takes minima by a combined aggregate and a join that Spark may split.
+    links is never gathered: see _with_least().
     """
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e, before = materialize(e, "links"), None
@@ -40,10 +48,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+        small = _with_least(materialize(large, "stars"))
+        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.where("v = m").select("u", "v"))
         e = materialize(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -1,9 +1,13 @@
 """Near duplicates by SimHash: a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 3 bits agree in at least 5 of their 8 bytes. Postings are keyed by the bytes at
-three positions: the 8 positions fall into two halves, any 5 of them put 3 into one half, so the 8 triples inside the halves
-find every such pair (and a 24-bit key keeps postings short). For the pairs that meet in a posting, the shared positional bytes
-are tallied, pairs below the guaranteed minimum are dropped, and the rest is verified by the number of differing bits.
+Two 64-bit fingerprints that differ in at most 3 bits share at least 5 of their 8 positional bytes. The index has a posting for the
+bytes at three positions: the positions fall into two halves, and any 5 put 3 into one half, so the 8 triples inside the halves
+bring every such pair together (a single byte's posting would hold 1/256 of all documents). In a posting the shared positional
+bytes of each pair are tallied, pairs below the guaranteed minimum of 5 are dropped, and the others are verified bit by bit.
+
+A posting of more than LONG fingerprints is divided, exactly: a pair that counts shares two of the five other positions as well, so
+ten finer postings have it; and where those are long too, of the six half-bytes left three agree, so twenty postings have it, of at
+most 2^12 = LONG fingerprints each. No task holds more than LONG of one posting.
 """
 
 from __future__ import annotations
@@ -16,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, release_kept, sliced, table, texts
+from sparkloom.llm.common import materialize, release_kept, salted_join, shuffle_partitions, sliced, table, texts
 from sparkloom.llm.components import connected_components, forest
 
 SEED = 42
 MAX_BITS = 3
 MIN_SHARED = 8 - MAX_BITS
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
-#: Postings longer than this are divided by two more byte positions.
+#: Postings longer than this are divided by further positions.
 LONG = 4096
 BLOCK = 1024
+PAIRS, HALVES = [*combinations(range(5), 2)], [*combinations(range(6), 3)]
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -55,91 +60,158 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, salts: int) -> Iterator[pa.RecordBatch]:
+    """The salt counts rows: equal fingerprints, however many, fall into as many parts."""
     release_kept()
+    seen = 0
     for batch in sliced(batches, "text"):
         found = np.array([fingerprint(t, width) for t in texts(batch)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+        salt = ((seen + np.arange(len(found))) % salts).astype(np.int32)
+        seen += len(found)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(salt)], names=["doc_id", "fp", "salt"])
 
 
-def _linked(x: np.ndarray) -> np.ndarray:
-    """Which differences of fingerprints are links: tally of shared positional bytes first, then the bits."""
-    shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    keep = shared >= MIN_SHARED
-    keep[keep] = np.bitwise_count(x[keep]) <= MAX_BITS
-    return keep
+def _octets(fp: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8)
 
 
-def _posting_pairs(key: np.ndarray, fp: np.ndarray, divide: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of linked pairs with equal keys; keys are sorted."""
+def _verified(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.bitwise_count(fp[i] ^ fp[j]) <= MAX_BITS
+    return i[keep], j[keep]
+
+
+def _posting_pairs(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of linked pairs with equal keys; keys are sorted. Shared positional bytes are tallied, then bits are compared."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
+    octets = _octets(fp)
     short = np.repeat(sizes <= 64, sizes)
     step, at = 1, np.flatnonzero(short)
     while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
-        keep = _linked(fp[at] ^ fp[at + step])
-        yield at[keep], at[keep] + step
+        tally = (octets[at] == octets[at + step]).sum(axis=1)
+        hit = at[tally >= MIN_SHARED]
+        yield _verified(fp, hit, hit + step)
         step += 1
     for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        if n > LONG and divide:
-            own = fp[s : s + n]
-            octets = own.view(np.uint8).reshape(-1, 8)
-            others = [p for p in range(8) if p not in TRIPLES[int(key[s]) >> 24]]
-            if (octets[:, others] == octets[0, others]).all(axis=0).sum() < 2:  # else a division would leave the posting whole
-                for two in combinations(others, 2):  # pairs share 5 positions: beside the key's 3, at least 2 more
-                    sub = octets[:, two[0]].astype(np.int64) << 8 | octets[:, two[1]]
-                    order = np.argsort(sub, kind="stable")
-                    for i, j in _posting_pairs(sub[order], np.ascontiguousarray(own[order]), False):
-                        yield s + order[i], s + order[j]
-                continue
+        columns = np.ascontiguousarray(octets[s : s + n].T)
         for i in range(0, n, BLOCK):
             for j in range(i, n, BLOCK):
-                a, b = np.arange(s + i, s + min(n, i + BLOCK)), np.arange(s + j, s + min(n, j + BLOCK))
-                x = (fp[a][:, None] ^ fp[b][None, :]).reshape(-1)
-                hit = np.flatnonzero(_linked(x))
-                p, q = a[hit // len(b)], b[hit % len(b)]
-                yield p[p < q], q[p < q]
+                a, b = columns[:, i : i + BLOCK], columns[:, j : j + BLOCK]
+                tally = np.zeros((a.shape[1], b.shape[1]), np.uint8)
+                for p in range(8):
+                    tally += a[p, :, None] == b[p, None, :]
+                p, q = np.nonzero(tally >= MIN_SHARED)
+                p, q = p + s + i, q + s + j
+                yield _verified(fp, p[p < q], q[p < q])
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, fp, rep) rows to links between reps: of each posting a spanning forest, not all its pairs."""
+def _finer(level: int, key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """(entries, finer keys): after 3 positions 2 of the other 5, then 3 half-bytes of the 3 bytes left.
+
+    A key is: 3 bits for the triple, its 3 bytes; from the second level 4 bits for the pair, its 2 bytes; on the third 5 bits for
+    the half-bytes, 12 bits of them.
+    """
+    octets = _octets(fp).astype(np.int64)
+    triple = (key >> 24 if level == 1 else key >> 44) & 7
+    out = np.zeros((len(key), len(PAIRS if level == 1 else HALVES)), np.int64)
+    for k in np.unique(triple).tolist():
+        own = np.flatnonzero(triple == k)
+        left = [p for p in range(8) if p not in TRIPLES[k]]
+        o = octets[own]
+        if level == 1:
+            for c, (x, y) in enumerate(PAIRS):
+                out[own, c] = key[own] >> 24 << 44 | c << 40 | (key[own] & 0xFFFFFF) << 16 | o[:, left[x]] << 8 | o[:, left[y]]
+            continue
+        for pair in np.unique(key[own] >> 40 & 15).tolist():
+            at = own[(key[own] >> 40 & 15) == pair]
+            rest = [p for n, p in enumerate(left) if n not in PAIRS[pair]]
+            half = np.stack([octets[at, p] >> shift & 15 for p in rest for shift in (0, 4)])
+            for c, (x, y, z) in enumerate(HALVES):
+                out[at, c] = (key[at] * 32 + c) << 12 | half[x] << 8 | half[y] << 4 | half[z]
+    return out
+
+
+def _postings(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, fp, rep) rows to links (a, b; no key), of each stretch a spanning forest, not all pairs; and, of postings of more
+    than LONG fingerprints, rows (fp, rep, finer key) for the next level."""
+    release_kept()
+    none = np.zeros(0, np.int64)
 
     def links(key, fp, rep):
         found = [(rep[i], rep[j]) for i, j in _posting_pairs(key, fp) if len(i)]
-        a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (none, none)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
 
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+    def divided(key, fp, rep):
+        for i in range(0, len(key), LONG):
+            finer = _finer(level, key[i : i + LONG], fp[i : i + LONG])
+            of = np.repeat(np.arange(i, i + len(finer)), finer.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[of].view(np.int64)), pa.array(rep[of]), pa.array(finer.reshape(-1))], names=["a", "b", "key"])
+
+    rest, flowing = [none, none.view(np.uint64), none], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "rep")]
-        new[1] = new[1].view(np.uint64)
-        rest = [np.concatenate(x) for x in zip(rest, new, strict=True)]
-        cut = int(np.searchsorted(rest[0], rest[0][-1]))  # the last key may go on
-        if cut:
-            yield links(*(x[:cut] for x in rest))
-            rest = [x[cut:] for x in rest]
+        key, fp, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "rep"))
+        rest = [np.concatenate(x) for x in zip(rest, (key, fp.view(np.uint64), rep), strict=True)]
+        if flowing is not None:  # a long posting goes on
+            n = int(np.searchsorted(rest[0], flowing, side="right"))
+            yield from divided(*(x[:n] for x in rest))
+            rest = [x[n:] for x in rest]
+            if not len(rest[0]):
+                continue
+            flowing = None
+        last = int(np.searchsorted(rest[0], rest[0][-1]))  # the last key may go on
+        if level < 3 and len(rest[0]) - last > LONG:
+            flowing, last = rest[0][-1], len(rest[0])
+        key = rest[0][:last]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if last else none
+        sizes = np.diff(np.r_[starts, last])
+        long = np.repeat(sizes > LONG, sizes) if level < 3 else np.zeros(last, np.bool_)
+        if last:
+            yield links(*(x[:last][~long] for x in rest))
+            yield from divided(*(x[:last][long] for x in rest))
+        rest = [x[last:] for x in rest]
     if len(rest[0]):
         yield links(*rest)
 
 
+def links_of(postings: DataFrame) -> DataFrame:
+    """(a, b) links between the reps of (key, fp, rep) postings on the first level."""
+    spark, found = postings.sparkSession, None
+    for level in (1, 2, 3):
+        dealt = postings.repartition("key").sortWithinPartitions("key")
+        out = materialize(dealt.mapInArrow(lambda it, level=level: _postings(it, level), "a long, b long, key long"), f"simhash-links-{level}")
+        links = out.where("key is null").select("a", "b")
+        found = links if found is None else found.unionByName(links)
+        postings = out.where("key is not null").select("key", F.col("a").alias("fp"), F.col("b").alias("rep"))
+        if postings.isEmpty():
+            break
+    return found
+
+
+def components_of(nodes: DataFrame) -> DataFrame:
+    """(node, component) of distinct fingerprints (fp, rep): the reps that have links, and the smallest rep reachable."""
+    octet = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
+    keys = F.array(*(F.lit(k << 24).cast("long") + octet[t[0]] * 65536 + octet[t[1]] * 256 + octet[t[2]] for k, t in enumerate(TRIPLES)))
+    return connected_components(links_of(nodes.where("rep is not null").select(F.explode(keys).alias("key"), "fp", "rep")))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
     A null text is an empty text; texts without words have fingerprint zero and link like any other; fewer than `width` words
     make one shingle. Equal fingerprints are one node of the graph, however many rows have them. Rows with a null id get the
-    component of their fingerprint's other rows, null if there are none. Other columns are ignored.
+    component of their fingerprint's other rows, null if there are none. An empty table gives an empty result, very long texts are
+    read whole in bounded memory, rows that repeat stay as they are. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = materialize(rows.mapInArrow(lambda it: _fingerprints(it, width), "doc_id long, fp long"), "fingerprints")
+    salts = max(64, shuffle_partitions(docs.sparkSession))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = materialize(rows.mapInArrow(lambda it: _fingerprints(it, width, salts), "doc_id long, fp long, salt int"), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    octet = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
-    keys = F.array(*(F.lit(k << 24).cast("long") + octet[t[0]] * 65536 + octet[t[1]] * 256 + octet[t[2]] for k, t in enumerate(TRIPLES)))
-    postings = nodes.where("rep is not null").select(F.explode(keys).alias("key"), "fp", "rep").repartition("key").sortWithinPartitions("key")
-    comps = connected_components(postings.mapInArrow(_postings, "a long, b long"))
+    comps = components_of(nodes)
     classes = nodes.join(comps, nodes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return salted_join(marked, "fp", classes).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

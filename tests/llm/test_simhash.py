@@ -2,6 +2,9 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 
@@ -60,29 +63,60 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == [(0, 3), (3, 3), (3, 3)]
 
 
-@pytest.mark.parametrize("long", [4096, 100])
-def test_long_postings_lose_no_link(long, monkeypatch):
-    import numpy as np
+def pairs_of(fp):
+    return {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
 
-    monkeypatch.setattr(simhash, "LONG", long)
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 1, dtype=np.uint64)[0]
-    fp = np.unique(np.array([int(base) ^ sum(1 << int(b) for b in rng.choice(40, 3, replace=False) + 24) for _ in range(600)], np.uint64))
-    key = np.zeros(len(fp), np.int64)
-    got = {tuple(sorted(p)) for i, j in simhash._posting_pairs(key, fp) for p in zip(i.tolist(), j.tolist(), strict=True)}
-    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
-    if long == 4096:
-        assert got == want
-    else:  # the key's three positions are assumed equal by the division; here only pairs with two more equal bytes are promised
-        octets = fp.view(np.uint8).reshape(-1, 8)
-        assert {p for p in want if (octets[p[0]] == octets[p[1]]).sum() >= 2} == got
 
+def near_one(n, bits, first, seed=1):
+    rng = np.random.default_rng(seed)
+    base = int(rng.integers(0, 2**63))
+    return np.unique(np.array([base ^ sum(1 << int(b) for b in rng.choice(bits, 3, replace=False) + first) for _ in range(n)], np.uint64))
 
-def test_long_postings_that_divide_no_further(monkeypatch):
-    """All entries share bytes 0-4; pairs with one differing bit in each of the others share no further byte."""
-    import numpy as np
 
-    monkeypatch.setattr(simhash, "LONG", 100)
-    fp = np.array([7 | a << 40 | b << 48 | c << 56 for a in range(6) for b in range(6) for c in range(6)], np.uint64)
+def test_pairs_of_a_posting():
+    fp = near_one(600, 40, 24)
     got = {tuple(sorted(p)) for i, j in simhash._posting_pairs(np.zeros(len(fp), np.int64), fp) for p in zip(i.tolist(), j.tolist(), strict=True)}
-    assert got == {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
+    assert got == pairs_of(fp)
+
+
+@pytest.mark.parametrize("rows", [7, 64, 5000])
+@pytest.mark.parametrize("shared", [2, 0])
+def test_long_postings_are_divided_without_loss(rows, shared, monkeypatch):
+    """Level by level by hand, with a posting of 100 called long: all entries share five bytes (or three); components as by brute force."""
+    monkeypatch.setattr(simhash, "LONG", 100)
+    if shared:
+        fp = np.array([7 | a << 40 | b << 48 | c << 56 for a in range(12) for b in range(12) for c in range(12)], np.uint64)
+    else:
+        fp = near_one(900, 40, 24)
+    triple = 0
+    octets = fp.view(np.uint8).reshape(-1, 8).astype(np.int64)
+    key = (octets[:, 0] << 16 | octets[:, 1] << 8 | octets[:, 2]) + (triple << 24)
+    entry, rep, links = [key, fp.view(np.int64), np.arange(len(fp))], None, set()
+    for level in (1, 2, 3):
+        order = np.argsort(entry[0], kind="stable")
+        key, f, rep = (x[order] for x in entry)
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + rows]) for x in (key, f, rep)], names=["key", "fp", "rep"]) for i in range(0, len(key), rows)]
+        out = pa.Table.from_batches(list(simhash._postings(iter(batches), level)))
+        links |= {tuple(sorted(p)) for p in zip(*(out.filter(pa.compute.is_null(out["key"]))[c].to_pylist() for c in "ab"))}
+        entry = [out.filter(pa.compute.is_valid(out["key"]))[c].to_numpy() for c in ("key", "a", "b")]
+        assert (level == 3) == (len(entry[0]) == 0)
+    got, want = (simhash.forest(*np.array(sorted(x)).T) for x in (links, pairs_of(fp)))
+    assert dict(zip(*map(np.ndarray.tolist, got))) == dict(zip(*map(np.ndarray.tolist, want)))
+
+
+def test_dense_posting_end_to_end(spark):
+    """5,000 fingerprints that share five bytes: all their postings inside one half are long."""
+    rng = np.random.default_rng(5)
+    fp = np.unique(0x1122334455 | rng.integers(0, 1 << 24, 5000, dtype=np.uint64) << np.uint64(40))
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    i, j = np.nonzero(np.triu(near, 1))
+    want = dict(zip(*map(np.ndarray.tolist, simhash.forest(i, j))))
+    nodes = spark.createDataFrame([(x, k) for k, x in enumerate(fp.view(np.int64).tolist())], "fp long, rep long")
+    got = {r.node: r.component for r in simhash.components_of(nodes).collect() if r.node != r.component}
+    assert got == want and len(i) > 1000
+
+
+def test_one_fingerprint_in_most_rows(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, concat('own words of ', id, ' only', id), 'the same text again') AS text")
+    got = result(simhash.simhash_components(docs))
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
