@@ -7,12 +7,11 @@ from sparkloom.llm import ego_join
 
 def brute(rows, cosine=0.9):
     good = {}
-    dim = max((len(e) for _, e in rows if e is not None), default=0)
     for k, (i, e) in enumerate(rows):
-        if i is not None and e is not None and len(e) == dim and all(x is not None and np.isfinite(x) for x in e) and any(e):
+        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e):
             v = np.array(e, np.float64)
             good[k] = v / np.linalg.norm(v)
-    near = {k: {m for m in good if m != k and good[k] @ good[m] >= cosine} for k in good}
+    near = {k: {m for m in good if m != k and len(good[k]) == len(good[m]) and good[k] @ good[m] >= cosine} for k in good}
     out = []
     for k, (i, _) in enumerate(rows):
         seen, todo = {k}, [k]
@@ -50,6 +49,30 @@ def test_edge_cases(spark):
     assert ego_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_malformed_rows_leave_others_alone(spark):
+    """A wider row with a null, other dimensions, an exact 0.9, negative zero, huge and tiny vectors."""
+    rows = [(1, [1.0, 0.01]), (2, [1.0, 0.0]), (3, [None, 1.0, 2.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.1, 3.0]), (6, [1.0, 0.0, 0.0, 0.0, 0.0]), (7, [9.0, 4.0, 1.0, 1.0, 1.0]), (8, [1.0, -0.0]), (9, [1e200, 1e200, 0.0]), (10, [1e-300, 1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ego_join.near_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (2, 1), 9: (1, 9), 10: (1, 9)}
+
+
+def test_tree_of_intervals_finds_all_near_pairs(spark):
+    rng = np.random.default_rng(4)
+    low = rng.uniform(-1, 1, (150, ego_join.LEADING))
+    rows = [(k // 40, k % 40, f"f{k}", 1, low[k].tolist(), (low[k] + 0.3).tolist()) for k in range(150)]
+    got = [tuple(r) for r in ego_join.near_intervals(spark.createDataFrame(rows, ego_join.INTERVALS), 0.5).collect()]
+    want = {(f"f{i}", f"f{j}") for i in range(150) for j in range(i, 150) if ego_join.box_gap(low[i], low[i] + 0.3, low[j], low[j] + 0.3) <= 0.5}
+    assert len(got) == len(set(got)) and set(got) == want and 150 < len(want) < 9000
+
+
+def test_one_vector_in_a_third_of_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(ego_join.near_vectors(df)) == brute(rows)
+
+
 def test_distant_blocks_are_skipped_and_none_is_lost():
     rng = np.random.default_rng(1)
 
