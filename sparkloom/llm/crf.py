@@ -3,6 +3,9 @@
 Every line of a text is good or bad. Features of the line and of its two neighbours score its label, a 2x2 matrix scores pairs of
 neighbouring labels, and forward-backward gives each line's probability of being good. The mean of these marginals, weighted by
 the lines' lengths, is the document's quality; a logistic curve on it, fitted on the same sample, makes it a probability.
+
+Time and memory are linear in bytes and lines, a document of any length included: features are made for some lines at a time and
+reduced to their scores, and messages run over strides of all documents at once, which 2x2 products carry from stride to stride.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import byte_rows, held_out, sliced, table
 
-#: Bound of the fit: labelled rows.
-SAMPLE_ROWS = 4000
+#: Bounds of the fit: labelled rows, lines of a row (longer ones are left out of the fit).
+SAMPLE_ROWS, SAMPLE_LINES = 4000, 200
+#: Lines whose features are held at a time; steps of a chain that are taken one by one.
+PIECE_LINES, STRIDE = 1 << 15, 256
 STEPS, RATE, PENALTY = 300, 0.05, 1e-3
 FEATURES = ("length", "upper", "symbols", "digits", "stops", "spaces", "wide", "word length", "word repeats", "word variety", "symbol words", "line repeats", "blank", "short")
 _UPPER, _DIGIT, _SYMBOL, _STOP, _SPACE, _WIDE = range(1, 7)
@@ -38,18 +43,24 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents back to back: (features of every line, lengths of the lines, offsets of the documents' lines).
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents back to back: (their bytes with a newline after each, where each line ends, offsets of the documents' lines).
 
     A newline ends a line; a document has one line more than newlines, an empty document one empty line.
     """
     sizes, docs = np.diff(offsets), len(offsets) - 1
-    # A newline of our own after each document, so that lines are what lies between newlines.
     room = np.full(len(data) + docs, 10, np.uint8)
-    room[np.arange(len(data)) + np.repeat(np.arange(docs), sizes)] = data
+    at = offsets[1:-1] + np.arange(docs - 1)
+    keep = np.ones(len(room), np.bool_)
+    keep[at], keep[-1] = False, False
+    room[keep] = data
     ends = np.flatnonzero(room == 10)
+    return room, ends, np.r_[0, np.searchsorted(ends, offsets[1:] + np.arange(docs)) + 1] if len(sizes) else np.zeros(1, np.int64)
+
+
+def _piece_features(room: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some whole lines: (features but for repeats of lines, a hash of each line's words, has the line words?)."""
     starts = np.r_[0, ends[:-1] + 1]
-    by_doc = np.r_[0, np.searchsorted(ends, offsets[1:] + np.arange(docs)) + 1]
     length = ends - starts
     n = np.maximum(length, 1)
     kind = CLASS[room]
@@ -63,6 +74,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         out[:, j] = share(kind == k)
     blank = (kind == _SPACE) | (room == 10)
     word = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    total, words = np.zeros(len(ends), np.uint64), np.zeros(len(ends), np.int64)
     if len(word):
         stop = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
         line = np.searchsorted(ends, word)
@@ -80,15 +92,38 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         out[:, 8] = np.bincount(line, again, len(ends)) / w
         out[:, 9] = np.bincount(seen.astype(np.int64), minlength=len(ends)) / w
         out[:, 10] = np.bincount(line, kind[stop - 1] == _SYMBOL, len(ends)) / w
-        total = np.zeros(len(ends), np.uint64)
         np.add.at(total, line, mixed)
-        owner = np.repeat(np.arange(docs), np.diff(by_doc))
-        order = np.lexsort((total, owner))
-        same = (total[order][1:] == total[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (words[order][1:] > 0)
-        out[order[1:], 11] = same
     out[:, 12] = length == 0
     out[:, 13] = length < 30
-    return out, length, by_doc
+    return out, total, words > 0
+
+
+def _pieces(room: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Features of PIECE_LINES lines, or of lines of some MB, at a time: (from line, to line, what _piece_features() gives)."""
+    low = 0
+    while low < len(ends):
+        begin = int(ends[low - 1]) + 1 if low else 0
+        high = min(low + PIECE_LINES, max(low + 1, int(np.searchsorted(ends, begin + (1 << 22)))))
+        yield low, high, _piece_features(room[begin : ends[high - 1] + 1], ends[low:high] - begin)
+        low = high
+
+
+def _line_repeats(total: np.ndarray, worded: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
+    """Has the document a line of the same words before?"""
+    owner = np.repeat(np.arange(len(by_doc) - 1), np.diff(by_doc))
+    order = np.lexsort((total, owner))
+    out = np.zeros(len(total), np.bool_)
+    out[order[1:]] = (total[order][1:] == total[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & worded[order[1:]]
+    return out
+
+
+def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents back to back: (features of every line, lengths of the lines, offsets of the documents' lines)."""
+    room, ends, by_doc = lines_of(data, offsets)
+    parts = [x for _, _, x in _pieces(room, ends)]
+    features, total, worded = (np.concatenate(x) for x in zip(*parts, strict=True))
+    features[:, 11] = _line_repeats(total, worded, by_doc)
+    return features, np.diff(np.r_[-1, ends]) - 1, by_doc
 
 
 def with_neighbours(features: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
@@ -100,35 +135,74 @@ def with_neighbours(features: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
     return np.hstack([features, before, after, np.ones((len(features), 1))])
 
 
-def _lanes(by_doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For step t = 0, 1, ...: the documents with more than t lines, and the index of that line."""
+def _messages(d: np.ndarray, by_doc: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Log odds of the message from the left before every line; d are the lines' own log odds, pairs[i, j] scores label i before j.
+
+    Documents are cut in strides. Products of all whole strides' matrices come first, step by step over all strides at once; they
+    carry the message from stride to stride; then the messages inside strides follow, again over all strides at once.
+    """
+    e, x, out = np.exp(pairs - pairs.max()), np.exp(np.clip(d, -50, 50)), np.zeros(len(d))
     sizes = np.diff(by_doc)
-    order = np.argsort(-sizes, kind="stable")
-    falling = sizes[order]
-    for t in range(int(falling[0]) if len(falling) else 0):
-        live = order[: np.searchsorted(-falling, -t, side="left")]
-        yield live, by_doc[live] + t
+    strides = -(-sizes // STRIDE)
+    first = np.r_[0, np.cumsum(strides)]
+    turn = np.arange(first[-1]) - np.repeat(first[:-1], strides)  # of a stride in its document
+    start = np.repeat(by_doc[:-1], strides) + turn * STRIDE
+    size = np.minimum(np.repeat(by_doc[1:], strides) - start, STRIDE)
+
+    def stepped(u: np.ndarray, at: np.ndarray) -> np.ndarray:
+        v0, v1 = u[0], u[1] * x[at]
+        u = np.stack([e[0, 0] * v0 + e[1, 0] * v1, e[0, 1] * v0 + e[1, 1] * v1])
+        return u / u.reshape(-1, len(at)).max(axis=0)
+
+    state = np.ones((2, len(start)))
+    if (whole := np.flatnonzero(turn < np.repeat(strides, strides) - 1)).size:
+        product = np.zeros((2, 2, len(whole)))
+        product[0, 0] = product[1, 1] = 1
+        for t in range(STRIDE):
+            product = stepped(product, start[whole] + t)
+        of = np.full(len(start), -1)
+        of[whole] = np.arange(len(whole))
+        open_ = first[:-1][strides > 1]
+        for k in range(1, int(strides.max())):
+            open_ = open_[of[open_ + k - 1] >= 0]
+            m, s = product[:, :, of[open_ + k - 1]], state[:, open_ + k - 1]
+            s = m[:, 0] * s[0] + m[:, 1] * s[1]
+            state[:, open_ + k] = s / s.max(axis=0)
+    order = np.argsort(-size, kind="stable")
+    falling, start, state = -size[order], start[order], state[:, order]
+    for t in range(int(-falling[0]) if len(falling) else 0):
+        live = int(np.searchsorted(falling, -t, side="left"))
+        at = start[:live] + t
+        out[at] = np.log(state[1, :live] / state[0, :live])
+        state = stepped(state[:, :live], at)
+    return out
+
+
+def log_odds(d: np.ndarray, pairs: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
+    """Of the second label, given the whole document."""
+    return d + _messages(d, by_doc, pairs) + _messages(d[::-1], len(d) - by_doc[::-1], pairs.T)[::-1]
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
 def forward_backward(scores: np.ndarray, pairs: np.ndarray, by_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(marginals of both labels for every line, expected numbers of label pairs, logarithm of the normaliser of each document)."""
-    a, b = np.zeros_like(scores), np.zeros_like(scores)
-    docs = len(by_doc) - 1
-    last = np.zeros(docs)
-    steps = list(_lanes(by_doc))
-    for t, (live, at) in enumerate(steps):
-        a[at] = scores[at] + (np.logaddexp.reduce(a[at - 1][:, :, None] + pairs, axis=1) if t else 0)
-    last[:] = np.logaddexp.reduce(a[by_doc[1:] - 1], axis=1)
-    for t in range(len(steps) - 1, 0, -1):
-        _, at = steps[t]
-        b[at - 1] = np.logaddexp.reduce((scores[at] + b[at])[:, None, :] + pairs, axis=2)
-    owner = np.repeat(np.arange(docs), np.diff(by_doc))
-    marginal = np.exp(a + b - last[owner][:, None])
-    inner = np.ones(len(scores), np.bool_)
+    d = scores[:, 1] - scores[:, 0]
+    left, right = _messages(d, by_doc, pairs), _messages(d[::-1], len(d) - by_doc[::-1], pairs.T)[::-1]
+    good = sigmoid(d + left + right)
+    inner = np.ones(len(d), np.bool_)
     inner[by_doc[:-1]] = False
-    at = np.flatnonzero(inner)
-    joint = np.exp(a[at - 1][:, :, None] + pairs + (scores[at] + b[at])[:, None, :] - last[owner[at]][:, None, None])
-    return marginal, joint.sum(axis=0), last
+    at, e = np.flatnonzero(inner), np.exp(pairs)
+    before, after = sigmoid((left + d)[at - 1]), sigmoid((d + right)[at])
+    before, after = np.stack([1 - before, before], axis=1), np.stack([1 - after, after], axis=1)
+    joint = before[:, :, None] * e * after[:, None, :]
+    joint /= joint.sum(axis=(1, 2))[:, None, None]
+    own = scores[:, 0] + np.logaddexp(-np.logaddexp(0, left), d - np.logaddexp(0, -left))
+    own[at] += np.log((before @ e).sum(axis=1))
+    last = np.add.reduceat(own, by_doc[:-1]) + np.log(2) if len(d) else np.zeros(0)
+    return np.stack([1 - good, good], axis=1), joint.sum(axis=0), last
 
 
 @dataclass
@@ -137,14 +211,29 @@ class Model:
     pairs: np.ndarray
     curve: tuple[float, float]
 
+    def mean(self, d: np.ndarray, length: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
+        """The marginals' mean, weighted by length, of documents whose lines have the log odds d of their own."""
+        good, weight = sigmoid(log_odds(d, self.pairs, by_doc)), length + 1.0
+        return np.clip(np.add.reduceat(good * weight, by_doc[:-1]) / np.add.reduceat(weight, by_doc[:-1]), 1e-9, 1 - 1e-9)
+
     def raw(self, x: np.ndarray, length: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
-        marginal = forward_backward(x @ self.weights, self.pairs, by_doc)[0][:, 1]
-        weight = length + 1.0
-        return np.clip(np.add.reduceat(marginal * weight, by_doc[:-1]) / np.add.reduceat(weight, by_doc[:-1]), 1e-9, 1 - 1e-9)
+        return self.mean(x @ (self.weights[:, 1] - self.weights[:, 0]), length, by_doc)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        f, length, by_doc = line_features(data, offsets)
-        q = self.raw(with_neighbours(f, by_doc), length, by_doc)
+        room, ends, by_doc = lines_of(data, offsets)
+        own, before, after, constant = np.split(self.weights[:, 1] - self.weights[:, 0], [k * len(FEATURES) for k in (1, 2, 3)])
+        parts = [np.zeros((len(ends), 3)), np.zeros(len(ends), np.uint64), np.zeros(len(ends), np.bool_)]
+        weights = np.stack([own, before, after], axis=1)
+        for low, high, (features, total, worded) in _pieces(room, ends):
+            parts[0][low:high], parts[1][low:high], parts[2][low:high] = features @ weights, total, worded
+        d = parts[0]
+        d[_line_repeats(*parts[1:], by_doc)] += weights[11]
+        out = d[:, 0] + constant
+        joined = np.ones(len(ends), np.bool_)
+        joined[by_doc[:-1]] = False  # has a line before it
+        out[1:] += np.where(joined[1:], d[:-1, 1], 0)
+        out[:-1] += np.where(joined[1:], d[1:, 2], 0)
+        q = self.mean(out, np.diff(np.r_[-1, ends]) - 1, by_doc)
         return 1 / (1 + np.exp(-(self.curve[0] * np.log(q / (1 - q)) + self.curve[1])))
 
 
@@ -188,8 +277,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Of rows (doc_id, text, quality); about sample_rows of them, chosen by a hash of the id, are used. Null labels are left out."""
-    rows = labelled.where("quality is not null")
+    """Of rows (doc_id, text, quality); about sample_rows of them, chosen by a hash of the id, are used. Null labels are left out, as are
+    texts of more than SAMPLE_LINES lines: the driver holds SAMPLE_ROWS x SAMPLE_LINES lines' features at most."""
+    lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    rows = labelled.where(F.col("quality").isNotNull() & (F.coalesce(lines, F.lit(0)) < SAMPLE_LINES))
     part = min(1.0, sample_rows / max(1, rows.count()))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("text", F.col("quality").cast("int").alias("quality"))
     found = sample.mapInArrow(_extract, "quality int, features binary, length binary").collect()
@@ -210,7 +301,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row, from its whole text alone; null and empty texts are one empty line. Rows that repeat score alike;
-    an empty table gives an empty result. Other columns are ignored."""
+    an empty table gives an empty result. A text's bytes and lines may be of any number. Other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
 
