@@ -2,8 +2,8 @@
 
 For each language the n-grams of its training texts that are typical of it go into a Bloom filter. The filters are bit-sliced: one
 array whose entry at a hash holds a bit per language, so k lookups and their conjunction give all languages that contain an
-n-gram. Bits are counted per document and language, the count is corrected for the filter's rate of false positives, and the
-language with the largest corrected share decides.
+n-gram; languages beyond one array's bits have further arrays. Bits are counted per document and language, the count is corrected
+for the filter's rate of false positives, and the language with the largest corrected share decides.
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import byte_rows, held_out, release_kept, sliced, table, texts
+from sparkloom.llm.common import byte_rows, held_out, materialize, release_kept, sliced, table, texts
 
 GRAM = 5
-#: Bounds of the fit: labelled rows, n-grams of a language, languages (a bit each).
-SAMPLE_ROWS, MAX_GRAMS, MAX_LANGUAGES = 4000, 30_000, 64
+#: Bounds of the fit: labelled rows, n-grams of a language. Languages that an array has bits for.
+SAMPLE_ROWS, MAX_GRAMS, BITS = 4000, 30_000, 64
 #: An n-gram is typical of a language that has it this often at least, and not this much less often than another language.
 MIN_COUNT, MIN_SHARE = 3, 0.05
 SLOTS, HASHES = 1 << 20, 3
@@ -62,25 +61,25 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 @dataclass
 class Model:
     languages: list[str]
-    masks: np.ndarray
+    #: One array for every BITS languages, in their order.
+    masks: list[np.ndarray]
     false_rate: np.ndarray
     default: int
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(documents, languages): the corrected share of a document's n-grams that a language contains."""
         key, cuts = grams(data, offsets)
-        found = None
-        for m in _MULTIPLIERS[:HASHES]:
-            got = self.masks[(key * m >> np.uint64(64 - (len(self.masks) - 1).bit_length())).astype(np.int64)]
-            found = got if found is None else found & got
         real = key != 0
-        found[~real] = 0
         total = np.maximum(np.add.reduceat(real, cuts[:-1], dtype=np.int64), 1)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        one = self.masks.dtype.type(1)
-        for k in range(len(self.languages)):
-            hits = np.add.reduceat(found >> self.masks.dtype.type(k) & one, cuts[:-1], dtype=np.int64)
-            out[:, k] = np.clip((hits / total - self.false_rate[k]) / (1 - self.false_rate[k]), 0, 1)
+        spots = [(key * m >> np.uint64(64 - (len(self.masks[0]) - 1).bit_length())).astype(np.int64) for m in _MULTIPLIERS[:HASHES]] if self.masks else []
+        for w, masks in enumerate(self.masks):
+            found = np.bitwise_and.reduce([masks[at] for at in spots])
+            found[~real] = 0
+            one = masks.dtype.type(1)
+            for k in range(w * BITS, min((w + 1) * BITS, len(self.languages))):
+                hits = np.add.reduceat(found >> masks.dtype.type(k - w * BITS) & one, cuts[:-1], dtype=np.int64)
+                out[:, k] = np.clip((hits / total - self.false_rate[k]) / (1 - self.false_rate[k]), 0, 1)
         return out
 
 
@@ -88,9 +87,7 @@ def build(rows: list[tuple[str, int, int]], totals: dict[str, int], slots: int =
     """Of (language, n-gram, count) rows and the number of documents of each language."""
     languages = sorted(totals)
     if not languages:
-        return Model([], np.zeros(slots, np.uint8), np.zeros(0), 0)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        return Model([], [], np.zeros(0), 0)
     index = {x: i for i, x in enumerate(languages)}
     lang = np.array([index[r[0]] for r in rows], np.int64)
     gram, count = np.array([r[1] for r in rows], np.int64).astype(np.uint64), np.array([r[2] for r in rows], np.float64)
@@ -99,14 +96,18 @@ def build(rows: list[tuple[str, int, int]], totals: dict[str, int], slots: int =
     best = np.zeros(inverse.max(initial=-1) + 1)
     np.maximum.at(best, inverse, share)
     typical = share >= MIN_SHARE * best[inverse]
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(t).itemsize)
-    masks = np.zeros(slots, kind)
-    for k in range(len(languages)):
-        own = gram[typical & (lang == k)]
-        for m in _MULTIPLIERS[:HASHES]:
-            masks[(own * m >> np.uint64(64 - (slots - 1).bit_length())).astype(np.int64)] |= kind(1 << k)
-    fill = np.array([(masks >> kind(k) & kind(1)).mean() for k in range(len(languages))])
-    return Model(languages, masks, fill**HASHES, max(range(len(languages)), key=lambda k: (totals[languages[k]], -k)))
+    arrays, fill = [], []
+    for first in range(0, len(languages), BITS):
+        own_bits = min(BITS, len(languages) - first)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if own_bits <= 8 * np.dtype(t).itemsize)
+        masks = np.zeros(slots, kind)
+        for k in range(own_bits):
+            own = gram[typical & (lang == first + k)]
+            for m in _MULTIPLIERS[:HASHES]:
+                masks[(own * m >> np.uint64(64 - (slots - 1).bit_length())).astype(np.int64)] |= kind(1 << k)
+        arrays.append(masks)
+        fill += [(masks >> kind(k) & kind(1)).mean() for k in range(own_bits)]
+    return Model(languages, arrays, np.array(fill) ** HASHES, max(range(len(languages)), key=lambda k: (totals[languages[k]], -k)))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,17 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     part = min(1.0, sample_rows / max(1, sum(totals.values())))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select("text", "lang")
     counts = sample.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= MAX_GRAMS)
+    counts = materialize(counts, "lang-grams")
+    # The most frequent n-grams of each language: all with a count at which no more than MAX_GRAMS have it or more. No ranking, so no
+    # task gets a language; the driver sees how many n-grams have each count.
+    least: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for r in sorted(counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams")).collect(), key=lambda r: -r.n):
+        held[r.lang] = held.get(r.lang, 0) + r.grams
+        if held[r.lang] <= MAX_GRAMS:
+            least[r.lang] = r.n
+    limits = labelled.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
+    top = counts.join(limits, "lang").where("n >= least")
     return build([(r.lang, r.gram, r.n) for r in top.collect()], totals)
 
 
@@ -169,7 +180,9 @@ def _accepted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Re
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose text has a language, with all their columns; those that predict() calls `und` go."""
+    """The rows whose text has a language, with all their columns (whatever their names); those that predict() calls `und` go: null
+    and empty texts and those without a letter. Rows that repeat stay or go alike, texts of any length are read whole; an empty
+    table gives an empty result, a model without languages an empty one too."""
     return docs.mapInArrow(lambda it: _accepted(it, model), docs.schema)
 
 
