@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import sliced, table, texts
-from sparkloom.llm.tokens import PieceEncoder, is_word
+from sparkloom.llm.common import byte_rows, on_release, sliced, table
+from sparkloom.llm.tokens import Learn, PieceEncoder, flat_index
 
 NONE = np.int32(2**31 - 1)
 #: Pieces of more bytes are merged one by one with a heap: a row of a matrix would take as many rounds as it has bytes.
@@ -37,7 +37,7 @@ class PairTable:
     """(left id, right id) to the id of both together: a hash table with linear probing over two arrays."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = [(ranks[t[:i]] << 16 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        pairs = [(ranks[t[:i]] << 31 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         keys, values = np.array(pairs, np.int64).T if pairs else np.zeros((2, 0), np.int64)
         bits = max(8, int(4 * len(keys) + 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
@@ -57,7 +57,7 @@ class PairTable:
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """NONE where the pair isn't in the table, or an id is negative."""
-        shape, keys = a.shape, (a.astype(np.int64) << 16 | b).ravel()
+        shape, keys = a.shape, (a.astype(np.int64) << 31 | b).ravel()
         keys[(a < 0).ravel() | (b < 0).ravel()] = -2
         out, left, spot = np.full(len(keys), NONE, np.int32), np.flatnonzero(keys >= 0), self._spots(keys)
         for _ in range(self.probes):
@@ -78,21 +78,26 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        if max(ranks.values()) > 65535:
-            raise ValueError("ids are kept in 16 bits here; the vocabulary has more")
         self.ranks, self.pairs, self.pattern = ranks, PairTable(ranks), regex.compile(pattern)
+        self.packed = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         self.bytes_of = {r: t for t, r in ranks.items()}
+        known = sorted(self.bytes_of)
+        #: For decoding: where each id's bytes start in a pool, and how many they are (-1: no such id).
+        self.sizes, self.starts = np.full(known[-1] + 1, -1, np.int64), np.zeros(known[-1] + 1, np.int64)
+        self.sizes[known] = [len(self.bytes_of[r]) for r in known]
+        self.starts[known] = np.cumsum(self.sizes[known]) - self.sizes[known]
+        self.pool = np.frombuffer(b"".join(self.bytes_of[r] for r in known), np.uint8)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed unsigned 16-bit ids of each piece."""
+        """Packed ids of each piece."""
         out: list[bytes | None] = [None] * len(pieces)
         by_length: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
-                out[i] = whole.to_bytes(2, "little")
+                out[i] = whole.to_bytes(self.packed.itemsize, "little")
             elif len(p) > MATRIX_BYTES:
-                out[i] = np.array(self._merge_long(p), "<u2").tobytes()
+                out[i] = np.array(self._merge_long(p), self.packed).tobytes()
             else:
                 by_length.setdefault(-(-len(p) // 4) * 4, []).append(i)
         for width, of in by_length.items():
@@ -113,7 +118,7 @@ class ByteBpe:
             least = ranks[np.arange(len(live)), at]
             if (over := least == NONE).any():
                 for i, row in zip(live[over].tolist(), ids[over], strict=True):
-                    out[i] = row[row >= 0].astype("<u2").tobytes()
+                    out[i] = row[row >= 0].astype(self.packed).tobytes()
                 live, ids, ranks, at, least = (x[~over] for x in (live, ids, ranks, at, least))
             if not len(live):
                 return out
@@ -159,60 +164,57 @@ class ByteBpe:
         return [x for x in ids if x >= 0]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or (self.sizes[ids] < 0).any()):
+            raise ValueError("an id outside the vocabulary")
+        return self.pool[flat_index(self.starts[ids], self.sizes[ids])].tobytes()
 
 
-class MatrixEncoder(PieceEncoder):
-    """Whole texts: unknown pieces are cut by the pattern, and what is new among the parts goes to the matrices together."""
+def matrix_learner(bpe: ByteBpe) -> Learn:
+    """Words go to the matrices as they are; the pattern cuts other pieces, and each of their parts goes once."""
 
-    def __init__(self, bpe: ByteBpe):
-        self.bpe, self.words = bpe, {}
-        self.tables, self.old = {"": {"": b""}, " ": {}}, {"": {}, " ": {}}
+    def learn(data, starts, sizes, word):
+        pieces = [data[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        parts = [[p] if w else [x.encode() for x in bpe.pattern.findall(p.decode())] for p, w in zip(pieces, word.tolist(), strict=True)]
+        distinct = list({x for xs in parts for x in xs})
+        ids = dict(zip(distinct, bpe.encode_pieces(distinct), strict=True))
+        packed = [b"".join(map(ids.__getitem__, xs)) for xs in parts]
+        return np.frombuffer(b"".join(packed), bpe.packed).astype(np.uint32), np.fromiter(map(len, packed), np.int64, len(packed)) // bpe.packed.itemsize
 
-    def _learn(self, space: str, missing: Iterable[str]) -> list[str]:
-        if len(self.words) > 300_000:
-            self.words = {}
-        old, table = self.old[space], self.tables[space]
-        table.update((p, old[p]) for p in missing if p in old)
-        cut = {p: [space + p] if is_word(p) else self.bpe.pattern.findall(space + p) for p in missing if p not in old}
-        fresh = list({x for xs in cut.values() for x in xs if x not in self.words})
-        self.words.update(zip(fresh, self.bpe.encode_pieces([x.encode() for x in fresh]), strict=True))
-        of = self.words.__getitem__
-        table.update((p, b"".join(map(of, xs))) for p, xs in cut.items())
-        for x in fresh:
-            if len(x) > 64:
-                del self.words[x]
-        return [p for p in missing if len(p) > 64]
+    return learn
 
 
 @lru_cache(maxsize=2)
-def matrix_encoder(path: str, pattern: str) -> MatrixEncoder:
+def matrix_encoder(path: str, pattern: str) -> tuple[PieceEncoder, ByteBpe]:
     """One per Python worker; path is that of a file of ranks."""
     with open(path, "rb") as lines:
-        return MatrixEncoder(ByteBpe(read_ranks(lines), pattern))
+        bpe = ByteBpe(read_ranks(lines), pattern)
+    encoder = PieceEncoder(matrix_learner(bpe), max(bpe.ranks.values()) + 1)
+    on_release(encoder.forget)
+    return encoder, bpe
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    encoder = matrix_encoder(path, pattern)
+    encoder, bpe = matrix_encoder(path, pattern)
     for batch in sliced(batches, "text"):
-        found = encoder.ids(texts(batch))
+        found = encoder.ids(*byte_rows(batch))
         columns = [
             batch.column("doc_id"),
             pa.array([len(x) for x in found], pa.int64()),
             pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found], pa.string()),
-            pa.array([hashlib.sha256(encoder.bpe.decode(x)).hexdigest() for x in found], pa.string()),
+            pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in found], pa.string()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    encoder = matrix_encoder(path, pattern)
+    encoder, _ = matrix_encoder(path, pattern)
     for batch in sliced(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in encoder.ids(texts(batch))], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in encoder.ids(*byte_rows(batch))], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    bpe = matrix_encoder(path, pattern).bpe
+    bpe = matrix_encoder(path, pattern)[1]
     for batch in batches:
         rows = [None if x is None else bpe.decode(np.array(x, np.int64)) for x in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "decoded"])

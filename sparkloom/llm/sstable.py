@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import filesystem, materialize, scratch, sliced, table, texts
+from sparkloom.llm.common import byte_rows, filesystem, materialize, scratch, sliced, table
 from sparkloom.llm.tokens import library_encoder
 
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 256 << 20
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-MAGIC = b"SLSSTAB1"
-FOOTER = struct.Struct("<QQQQQQQ8s")
+MAGIC = b"SLSSTAB2"
+FOOTER = struct.Struct("<QQQQQQQQ8s")
 END_ID = 2
 MANIFEST = "part int, seq int, path string, docs long, tokens long"
 
@@ -68,11 +68,12 @@ def _bloom_spots(keys: list[bytes], bits: int) -> np.ndarray:
 
 
 class ShardWriter:
-    """Writes entries that come in key order; values are arrays of unsigned 16-bit ids."""
+    """Writes entries that come in key order; values are arrays of unsigned ids of `width` bytes."""
 
-    def __init__(self, stream):
+    def __init__(self, stream, width: int = 2):
         import zstandard
 
+        self.width = width
         self.stream, self.pack = stream, zstandard.ZstdCompressor(level=1).compress
         self.at = self.docs = self.tokens = 0
         self.index, self.keys = [], []
@@ -120,7 +121,7 @@ class ShardWriter:
         for i in range(0, len(self.keys), 1 << 16):
             flags[_bloom_spots(self.keys[i : i + (1 << 16)], bits)] = True
         bloom = self._put(np.packbits(flags, bitorder="little").tobytes())
-        self.stream.write(FOOTER.pack(*index, *bloom, bits, self.docs, self.tokens, MAGIC))
+        self.stream.write(FOOTER.pack(*index, *bloom, bits, self.docs, self.tokens, self.width, MAGIC))
         self.stream.close()
 
 
@@ -131,9 +132,10 @@ class ShardReader:
         system, name = filesystem(path)
         self.file = system.open_input_file(name)
         size = self.file.size()
-        *places, self.bits, self.docs, self.tokens, magic = FOOTER.unpack(self._at(size - FOOTER.size, FOOTER.size))
+        *places, self.bits, self.docs, self.tokens, width, magic = FOOTER.unpack(self._at(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"{path} is no shard")
+        self.kind = np.dtype(f"<u{width}")
         raw, at, self.index = self._block(*places[:2]), 0, []
         while at < len(raw):
             n, at = _read_varint(raw, at)
@@ -163,7 +165,7 @@ class ShardReader:
             size, at = _read_varint(raw, at)
             key = key[:shared] + raw[at : at + rest]
             at += rest
-            yield key, np.frombuffer(raw, "<u2", size // 2, at)
+            yield key, np.frombuffer(raw, self.kind, size // self.kind.itemsize, at)
             at += size
 
     def scan(self) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -201,7 +203,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, shard
     encoder = library_encoder(tokenizer)
     system, base = filesystem(folder)
     system.create_dir(base, recursive=True)
-    end = np.array([END_ID], "<u2")
+    end = np.array([END_ID], encoder.kind)
 
     def closed():
         writer.close()
@@ -209,13 +211,13 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, shard
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     for batch in sliced(batches, "text"):
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(texts(batch)), strict=True):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(*byte_rows(batch)), strict=True):
             if writer is not None and writer.at >= shard_bytes:
                 yield closed()
                 writer, seq = None, seq + 1
             if writer is None:
                 name = f"{uuid.uuid4().hex}.sst"  # a task that runs twice leaves an unlisted shard, never a torn one
-                path, writer = f"{folder}/{name}", ShardWriter(system.open_output_stream(f"{base}/{name}", compression=None))
+                path, writer = f"{folder}/{name}", ShardWriter(system.open_output_stream(f"{base}/{name}", compression=None), encoder.kind.itemsize)
             writer.add(key_of(doc_id), np.concatenate([ids, end]))
     if writer is not None:
         yield closed()
@@ -224,11 +226,12 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, shard
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the ids of every whole text, each with END_ID at its end, in ascending order of doc_id; returns the list of shards.
 
-    Null text is empty and gives END_ID alone; rows with a null id come first; rows that repeat an id stay side by side. An empty
-    table gives an empty list. Other columns are ignored.
+    Null text is empty and gives END_ID alone; rows with a null id come first; rows that repeat an id are next to each other, in
+    one shard or in shards that follow each other. An empty table gives an empty list. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = rows.withColumn("deal", F.xxhash64("text") + F.spark_partition_id())  # rows that repeat an id, or have none, may fall into several shards
+    ordered = dealt.repartitionByRange("doc_id", "deal").drop("deal").sortWithinPartitions("doc_id")
     return materialize(ordered.mapInArrow(lambda it: _write(it, folder, tokenizer, shard_bytes), MANIFEST), "sst-manifest")
 
 

@@ -22,12 +22,12 @@ def test_ids_equal_the_library_s(library):
     rng = np.random.default_rng(3)
     made = ["".join(map(chr, rng.choice([*range(32, 127), 10, 9, 0xE9, 0x4E2D, 0x1F600, 0x301], rng.integers(0, 40)))) for _ in range(2000)]
     made += ["a" * 3000, "ab" * 700, "thethethe" * 100, "é" * 999, " " * 500, "\n" * 300 + "x", "!" * 700, "0123456789" * 90]
-    got = bpe.matrix_encoder(PATH, PATTERN).ids(made)
+    got = bpe.matrix_encoder(PATH, PATTERN)[0].of_texts(made)
     assert [x.tolist() for x in got] == [library.encode_ordinary(t) for t in made]
 
 
 def test_long_and_short_merges_agree(library):
-    own = bpe.matrix_encoder(PATH, PATTERN).bpe
+    own = bpe.matrix_encoder(PATH, PATTERN)[1]
     rng = np.random.default_rng(4)
     pieces = [bytes(rng.choice(list(b"theandionr"), rng.integers(2, 200)).astype(np.uint8)) for _ in range(300)]
     assert [np.frombuffer(x, "<u2").tolist() for x in own.encode_pieces(pieces)] == [own._merge_long(p) if p not in own.ranks else [own.ranks[p]] for p in pieces]

@@ -54,7 +54,7 @@ def test_edge_cases(spark):
 def test_neighbours_are_the_best_by_bm25():
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 400, rng.integers(5, 60)).astype(np.uint16) for _ in range(200)]
-    df = np.zeros(packing.VOCABULARY)
+    df = np.zeros(1 << 16)
     for x in docs:
         df[np.unique(x)] += 1
     idf = np.log1p((200 - df + 0.5) / (df + 0.5)).astype(np.float32)
@@ -70,4 +70,27 @@ def test_neighbours_are_the_best_by_bm25():
     terms = sorted(set(docs[seed].tolist()), key=lambda t: -weight(t, docs[seed]))[: packing.QUERY_TERMS]
     scores = {i: sum(weight(t, x) for t in terms) for i, x in enumerate(docs) if not shard.used[i]}
     best = sorted(scores.values(), reverse=True)[:10]
-    assert np.allclose([scores[i] for i in shard.neighbours(seed)[:10]], best, rtol=1e-4)
+    assert np.allclose([scores[i] for i in shard.neighbours(seed)[0][:10]], best, rtol=1e-4)
+
+
+def test_lighter_terms_are_asked_when_the_heavier_have_no_one(monkeypatch):
+    """A document that shares any term with the seed is taken before those that share none; and long documents are asked for by all their terms."""
+    monkeypatch.setattr(packing, "QUERY_TERMS", 3)
+    idf = np.linspace(5, 0.1, 500).astype(np.float32)
+    docs = [np.arange(0, 30, dtype=np.uint16), np.arange(100, 130, dtype=np.uint16), np.r_[200:229, 29].astype(np.uint16), np.arange(300, 330, dtype=np.uint16)]
+    order = [p[0] for p in packing.pack_shard(docs, idf, 30.0, window=64)]
+    assert order[:2] == [0, 2]
+    whole = {3: (np.r_[5, 300:400].astype(np.uint16), np.ones(101, np.uint32), 400)}
+    shard = packing.Shard(docs, idf, 30.0, whole)
+    assert set(shard.neighbours(0)[0]) == {0}  # itself, not yet used
+    shard.use(0)
+    found, tier = shard.neighbours(0)
+    assert found == [3] and tier == 1
+    shard.use(3)
+    assert shard.neighbours(0, tier)[0] == [2]
+
+
+def test_rows_that_repeat_are_spread(spark):
+    docs = spark.range(600).selectExpr("cast(if(id % 2 = 0, 7, null) AS long) AS doc_id", "'the same words in every row of this table' AS text").repartition(8)
+    got = packing.pack(docs, PATH).collect()
+    assert sum(p.start == 0 for p in got) == 600 and sum(p.length for p in got) == sum(p.doc_tokens for p in got if p.start == 0)
