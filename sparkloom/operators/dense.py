@@ -36,8 +36,10 @@ def literal_vector(vector: list[float]) -> Column:
 
 def top_k(points: DataFrame, vector: list[float], k: int, id_col: str = "id", vector_col: str = "dense") -> DataFrame:
     """Exact, by falling cosine, ties by id. Vectors of another dimension or null never match."""
-    fits = points.where(F.size(vector_col) == len(vector))
-    return fits.select(F.col(id_col).alias("id"), cosine(F.col(vector_col), literal_vector(vector)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    fits, own = points.where(F.size(vector_col) == len(vector)), float(np.sqrt(sum(float(x) * float(x) for x in vector)))
+    both = norm(F.col(vector_col)) * F.lit(own)
+    score = F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col(vector_col), literal_vector(vector)) / both)
+    return fits.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 class HashEncoder:

@@ -201,9 +201,8 @@ _LAG = " AND ".join(f"{c} IS NOT DISTINCT FROM lag({c}) OVER w" for c in ("event
 ORACLE_SQL = {
     "g1_neighbours": "SELECT conv_id AS page_id, turn AS chunk_index, 'c' || conv_id || '-' || turn AS id, lag('c' || conv_id || '-' || turn) OVER w AS prev_chunk_id, lead('c' || conv_id || '-' || turn) OVER w AS next_chunk_id, count(*) OVER (PARTITION BY conv_id) AS total_chunks, substr(sha256(coalesce(text, '')), 1, 16) AS chunk_hash FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "g3_running_index": "WITH l AS (SELECT source AS file_name, doc_id AS source_idx, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), p AS (SELECT file_name, source_idx, unnest(range(0, len(lines))) AS piece FROM l) SELECT file_name, source_idx, CAST(piece AS INTEGER) AS piece, CAST(row_number() OVER (PARTITION BY file_name ORDER BY source_idx, piece) - 1 AS INTEGER) AS chunk_index FROM p",
-    "n7_merge": """WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        r AS (SELECT doc_id, lines, 1 AS pos, strlen(lines[1]) AS held, 0 AS i FROM d UNION ALL SELECT doc_id, lines, pos + 1, CASE WHEN held >= 400 THEN strlen(lines[pos + 1]) ELSE held + 1 + strlen(lines[pos + 1]) END, i + CAST(held >= 400 AS INTEGER) FROM r WHERE pos < len(lines))
-        SELECT doc_id, i, CAST(max(held) AS INTEGER) AS bytes FROM r GROUP BY doc_id, i""",
+    "n7_merge": """WITH d AS (SELECT doc_id, list_reduce(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: [strlen(l)]), lambda a, x: CASE WHEN a[len(a)] >= 400 THEN list_concat(a, x) ELSE list_concat(a[1:len(a) - 1], [a[len(a)] + 1 + x[1]]) END) AS b FROM documents)
+        SELECT doc_id, CAST(unnest(range(0, len(b))) AS INTEGER) AS i, CAST(unnest(b) AS INTEGER) AS bytes FROM d""",
     "c10_embedding_text": "SELECT doc_id, substr(sha256(concat_ws(chr(10), 'File_name: f' || doc_id, 'Type: ' || lang, CASE WHEN doc_id % 2 = 0 THEN 'Page: ' || (doc_id % 5) END, 'Content:' || chr(10) || coalesce(text, ''))), 1, 16) AS digest FROM documents",
     "c7_metadata": "SELECT doc_id, 'f' || doc_id AS file_name, CASE WHEN doc_id % 3 = 0 THEN 'own' ELSE 'txt' END AS doc_type, CASE WHEN doc_id % 3 = 0 THEN source END AS grp, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS keys FROM documents",
     "e8_matched_links": """WITH w AS (SELECT conv_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda x: strlen(x) >= 4)) AS all_words, list_filter(string_split(coalesce(text, ''), ' '), lambda x: strlen(x) >= 4) AS words FROM conversations WHERE turn = 0),

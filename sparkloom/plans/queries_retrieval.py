@@ -36,7 +36,7 @@ def j4_bm25_weights(spark, sf):
 
 def f8_term_statistics(spark, sf):
     d = t(spark, sf, "documents")
-    s = bm25.term_statistics(bm25.postings(d))
+    s = bm25.term_statistics(bm25.postings(d).select("term"))
     n = d.agg(F.count(F.lit(1)).alias("n"))
     return s.join(F.broadcast(n), how="cross").select("term", "df", F.round(bm25.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
@@ -86,22 +86,24 @@ def a20_search_rows(spark, sf):
     return rows.select("id", F.char_length("document").alias("chars"), F.round("score", 8).alias("score"))
 
 
-def _with_postings(engine: Engine, stemmed: bool) -> Engine:
-    """Several requests share the collection's postings; a deployment keeps them as a table clustered by term."""
-    engine.stemmed = stemmed
-    engine.postings = {k: bm25.postings(p, "id", "document", stemmed).persist() for k, p in engine.collections.items()}
-    return engine
-
-
 def search(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: two requests, hybrid, reranked, with stems."""
-    engine = _with_postings(_engine(spark, sf), stemmed=True)
+    return _flagship(spark, sf, True)
+
+
+def search_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship's requests without stems, which SQL can follow to the end."""
+    return _flagship(spark, sf, False).select("request_idx", "rank", "id", F.char_length("document").alias("chars"), F.round("score", 6).alias("score"))
+
+
+def _flagship(spark: SparkSession, sf: str, stemmed: bool) -> DataFrame:
+    engine = _engine(spark, sf)
+    engine.stemmed = stemmed
     return engine.run([Request("general", SEARCH_TEXT, 10, where={"lang": "en"}), Request("general", "nation this there", 5)])
 
 
 def k12_tool_text(spark, sf):
-    engine = _with_postings(_engine(spark, sf), stemmed=False)
-    return engine.call_tool([Request("general", "", where={"group": "src0"}), Request("general", "", where={})], SEARCH_TEXT, None, 7)
+    return _engine(spark, sf).call_tool([Request("general", "", where={"group": "src0"}), Request("general", "", where={})], SEARCH_TEXT, None, 7)
 
 
 _CLAUSES = {
@@ -132,7 +134,7 @@ def h2_limits(spark, sf):
 def h11_display_cut(spark, sf):
     """First rows of a concatenation of lists, not the best of all."""
     r = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("request_idx"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("id"))
-    return r.orderBy("request_idx", "rank").limit(25)
+    return r.orderBy("request_idx", "rank", "id").limit(25)
 
 
 def i1_concatenation(spark, sf):
@@ -175,6 +177,7 @@ QUERIES = {
     "j7_dense_only": j7_dense_only,
     "a20_search_rows": a20_search_rows,
     "search": search,
+    "search_words": search_words,
     "k12_tool_text": k12_tool_text,
     **{k: _clause(w) for k, (w, _) in _CLAUSES.items()},
     "d8_but_not": d8_but_not,
@@ -194,7 +197,27 @@ sp AS (SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY score D
 both_lists AS (SELECT * FROM dn WHERE rank <= {{pre}} UNION ALL SELECT * FROM sp WHERE rank <= {{pre}}),
 fused AS (SELECT id, sum(1.0 / (60 + rank)) AS score FROM both_lists GROUP BY id ORDER BY score DESC, id LIMIT {{n}})"""
 
+
+
+def _request(i: int, query: str, where: str, n: int, limit: int) -> str:
+    """The CTEs of a request without stems: prefetched lists, fusion to n candidates, lexical scores, the best `limit`."""
+    terms, words = ", ".join(f"'{x}'" for x in bm25.query_terms(query)), ", ".join(f"'{x}'" for x in sorted(set(query.lower().split())))
+    return f"""
+    own{i} AS (SELECT doc_id FROM documents WHERE {where}),
+    df{i} AS (SELECT term, count(*) AS df FROM post WHERE term IN ({terms}) AND doc_id IN (SELECT doc_id FROM own{i}) GROUP BY term),
+    sp{i} AS (SELECT CAST(doc_id AS VARCHAR) AS id, sum(weight * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))) AS score FROM post JOIN df{i} USING (term) WHERE doc_id IN (SELECT doc_id FROM own{i}) GROUP BY doc_id),
+    dn{i} AS (SELECT CAST(vec_id AS VARCHAR) AS id, score FROM ({_DENSE}) WHERE vec_id IN (SELECT doc_id FROM own{i})),
+    parts{i} AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sp{i} UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM dn{i}),
+    fused{i} AS (SELECT id, sum(1.0 / (60 + rank)) AS score FROM parts{i} WHERE rank <= {4 * n} GROUP BY id ORDER BY score DESC, id LIMIT {n}),
+    placed{i} AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM fused{i}),
+    texts{i} AS (SELECT p.id, place, coalesce(d.text, '') AS text, regexp_extract_all(lower(substr(coalesce(d.text, ''), 1, 4000)), '[\\p{{L}}\\p{{N}}_]+') AS toks FROM placed{i} p JOIN documents d ON CAST(d.doc_id AS VARCHAR) = p.id),
+    firsts{i} AS (SELECT id, place, length(text) AS chars, list_filter(list_transform([{words}], lambda w: list_position(toks, w)), lambda x: x > 0) AS spots FROM texts{i}),
+    scored{i} AS (SELECT id, place, chars, len(spots) / {len(set(query.lower().split()))}.0 + coalesce(list_sum(list_transform(spots, lambda x: 1.0 / (99 + x))), 0) / {len(set(query.lower().split()))}.0 AS score FROM firsts{i}),
+    best{i} AS (SELECT {i} AS request_idx, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, place) AS INTEGER) AS rank, id, chars, round(score, 6) AS score FROM scored{i} QUALIFY rank <= {limit})"""
+
+
 ORACLE_SQL = {
+    "search_words": f"WITH {_POSTINGS}, {_request(0, SEARCH_TEXT, "lang = 'en'", 50, 10)}, {_request(1, 'nation this there', 'true', 25, 5)} SELECT * FROM best0 UNION ALL SELECT * FROM best1",
     "k1_tokens": "WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY token",
     "j4_bm25_weights": f"WITH {_POSTINGS} SELECT doc_id, term, tf, length, round(weight, 6) AS weight FROM post",
     "f8_term_statistics": f"WITH {_POSTINGS} SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM post GROUP BY term",
@@ -210,7 +233,7 @@ ORACLE_SQL = {
     "h2_limits": """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 10 != 0 THEN p_size * 3 - 20 END AS n, CASE WHEN p_partkey % 7 != 0 THEN p_size - 5 END AS cap FROM part),
         l AS (SELECT *, least(greatest(coalesce(n, 10), 1), 100) AS lim FROM n)
         SELECT p_partkey, lim AS "limit", lim * CASE WHEN lim <= 10 THEN 5 WHEN lim <= 25 THEN 4 WHEN lim <= 50 THEN 3 ELSE 2 END AS fetch, lim * 4 AS prefetch, least(CASE WHEN n > 0 THEN n ELSE 5 END, CASE WHEN cap > 0 THEN cap ELSE 5 END) AS shown FROM l""",
-    "h11_display_cut": "SELECT l_orderkey AS request_idx, l_linenumber AS rank, l_partkey AS id FROM lineitem ORDER BY 1, 2 LIMIT 25",
+    "h11_display_cut": "SELECT l_orderkey AS request_idx, l_linenumber AS rank, l_partkey AS id FROM lineitem ORDER BY 1, 2, 3 LIMIT 25",
     "i1_concatenation": f"WITH {_SPARSE}, sp AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sparse) SELECT 0 AS request_idx, rank, id FROM {_DENSE_40.format(n=5)} UNION ALL SELECT 1, rank, id FROM sp WHERE rank <= 5",
     "g6_top_per_label": f"SELECT * FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VECTOR}) AS score FROM embeddings)) WHERE rank <= 3",
 }

@@ -46,7 +46,7 @@ class Engine:
     rrf_k: int = fusion.RRF_K
     stemmed: bool = True
 
-    def candidates(self, collection: str, query: str | None, vector: list[float], n: int, where: dict | None = None) -> DataFrame:
+    def candidates(self, collection: str, query: str | None, vector: list[float], n: int, where: dict | None = None, forms=None) -> DataFrame:
         """(id, score). The filter stands before the limit of each list, so no place in a list is wasted."""
         points = filtered(self.collections[collection], where)
         near = dense.top_k(points, vector, prefetch(n))
@@ -55,7 +55,9 @@ class Engine:
             return near.orderBy(F.desc("score"), "id").limit(n)
         posted = self.postings.get(collection)
         if posted is None:
-            posted = bm25.postings(points, "id", "document", self.stemmed)
+            if self.stemmed and forms is None:
+                forms = bm25.forms_of(self.collections[collection], terms, "document")
+            posted = bm25.hits(points, terms, "id", "document", forms)
         else:
             posted = posted.where(F.col("term").isin(terms))
             posted = posted if where in (None, {}) else posted.join(points.select("id"), "id", "left_semi")
@@ -74,10 +76,15 @@ class Engine:
         if not requests:
             raise ValueError("no requests")
         hidden = requests[-1].show_documents is False  # C4: the last one speaks for all
+        forms = {}
+        if self.stemmed:  # the tokens that stand for any request's stems, found once per collection
+            for name in {r.collection for r in requests} - set(self.postings):
+                terms = sorted({t for r in requests if r.collection == name for t in bm25.query_terms(r.query, True)})
+                forms[name] = bm25.forms_of(self.collections[name], terms, "document") if terms else []
         parts = []
         for i, r in enumerate(requests):
             limit = normalize_limit(r.limit)
-            found = self.candidates(r.collection, r.query, self.encode_query(r.query), limit * overfetch(limit), r.where)
+            found = self.candidates(r.collection, r.query, self.encode_query(r.query), limit * overfetch(limit), r.where, self._own(forms.get(r.collection), r.query))
             rows = self.collections[r.collection].join(F.broadcast(found), "id")
             meta = metadata(rows)
             best = fusion.rerank(rows.select("id", F.coalesce("document", F.lit("")).alias("document"), meta.alias("metadata"), "score"), r.query, limit, self.rerank_score)
@@ -88,6 +95,13 @@ class Engine:
             out = out.unionByName(p)
         return out
 
+    def _own(self, forms, query: str):
+        """Of the forms for all requests those of this query."""
+        if forms is None:
+            return None
+        terms = bm25.query_terms(query, True)
+        return [x for x in forms if x[1] in terms] if isinstance(forms, list) else forms.where(F.col("term").isin(terms))
+
     def call_tool(self, scopes: list[Request], query: str, requested: int | None, tool_max: int | None) -> DataFrame:
         """The query over all scopes of a tool, as text in one row; the first results of the concatenation are shown."""
         limit = effective_limit(requested, tool_max)
