@@ -101,11 +101,16 @@ def forms_of(docs: DataFrame, terms: list, text_col: str = "text") -> list[tuple
     return [tuple(r) for r in some] if len(some) <= FORMS else found
 
 
+def sparse_column(text: Column) -> Column:
+    """A text's (indices, values): term identifiers ascending with their weights, as points store them; empty arrays without terms."""
+    empty = F.array().cast("array<struct<term:bigint,tf:bigint>>")
+    counts = bound(_terms(text, True), lambda x: F.struct(F.size(x).alias("length"), F.coalesce(counted(x), empty).alias("counts")))
+    return bound(counts, lambda d: F.struct(F.transform(d["counts"], lambda c: c["term"]).alias("indices"), F.transform(d["counts"], lambda c: saturation(c["tf"], d["length"]).cast("float")).alias("values")))
+
+
 def sparse_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, indices, values): term identifiers ascending with their weights, as points store them; texts without terms have empty arrays."""
-    rows = _documents(docs, id_col, _terms(F.col(text_col), True))
-    counts = F.coalesce("d.counts", F.array().cast("array<struct<term:bigint,tf:bigint>>"))
-    return rows.select("id", F.transform(counts, lambda c: c["term"]).alias("indices"), F.transform(counts, lambda c: saturation(c["tf"], F.col("d.length")).cast("float")).alias("values"))
+    """(id, indices, values) of a table of texts."""
+    return docs.select(F.col(id_col).alias("id"), sparse_column(F.col(text_col)).alias("s")).select("id", "s.indices", "s.values")
 
 
 def query_terms(text: str, stemmed: bool = False) -> list:

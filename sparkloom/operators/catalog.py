@@ -70,6 +70,13 @@ def document_to_delete(files: DataFrame, name: str) -> DataFrame:
     return files.where((F.col("status") == "completed") & (basename(F.col("full_path")) == name)).orderBy("id").limit(1)
 
 
+def without_document(points: DataFrame, files: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """T4: (points of the general collection without that file's, files without its first completed row)."""
+    gone = document_to_delete(files, name)
+    kept = points.where(~F.coalesce(F.col("file_name") == name, F.lit(False)))
+    return kept, files.join(gone.select("id"), "id", "left_anti")
+
+
 def cleared(points: DataFrame, collection: str) -> DataFrame:
     """Of the general collection websites stay."""
     return points.where(F.coalesce(is_website(), F.lit(False))) if collection == "general" else points.where(F.lit(False))

@@ -8,6 +8,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,15 +130,25 @@ def byte_windows(text: str, size: int) -> list[str]:
     return out
 
 
-def chunk_documents(docs: DataFrame, size: int = TEXT_TOKENS, overlap: int = TEXT_OVERLAP, count: Callable[[str], int] = approximate_tokens) -> DataFrame:
-    """Of (file_name, doc_type, source_idx, page, content): pieces of at most 6000 characters, indexed over all parts of a file."""
+def arrow_lists(f: Callable, kind: str):
+    """A column function of lists from one of Python rows, over batches of pandas series."""
+
+    @F.pandas_udf(kind)
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([f(*row) for row in zip(*(c.where(c.notna(), None) for c in columns), strict=True)], dtype=object)
+
+    return run
 
-    @F.udf("array<string>")
-    def pieces(content, doc_type):
-        return split_text(content or "", size, overlap, count, doc_type in ("md", "mdx")) or [content or ""]
 
+def chunk_documents(docs: DataFrame, size: int = TEXT_TOKENS, overlap: int = TEXT_OVERLAP, count: Callable[[str], int] = approximate_tokens) -> DataFrame:
+    """Of (file_name, doc_type, source_idx, page, content): pieces of at most 6000 characters, indexed over all parts of a file.
+
+    Other columns, such as a part's metadata, are inherited by its pieces.
+    """
+    pieces = arrow_lists(lambda content, doc_type: split_text(content or "", size, overlap, count, doc_type in ("md", "mdx")) or [content or ""], "array<string>")
+    own = [c for c in docs.columns if c not in ("file_name", "doc_type", "page", "source_idx", "content")]
     split = docs.withColumn("pieces", F.flatten(F.transform(pieces("content", "doc_type"), lambda p: hard_split(p, MAX_CHUNK_CHARS))))
-    rows = split.select("file_name", "doc_type", "page", "source_idx", F.posexplode("pieces").alias("piece_idx", "content"))
+    rows = split.select("file_name", "doc_type", "page", "source_idx", *own, F.posexplode("pieces").alias("piece_idx", "content"))
     place = W.partitionBy("file_name").orderBy("source_idx", "piece_idx")
     return rows.withColumn("chunk_index", (F.row_number().over(place) - 1).cast("bigint")).drop("piece_idx", "source_idx")
 
@@ -201,13 +212,13 @@ def chunk_pages(pages: DataFrame, group: str, at: str, size: int = TEXT_TOKENS)
     """N9 over a table of pages (url, html); a page that can't be read is left out."""
     spec = f"array<struct<{WEB_CHUNK.replace(' string', ': string').replace(' bigint', ': bigint').replace(' array<', ': array<')}>>"
 
-    @F.udf(spec)
-    def chunks(url, html):
+    def of_page(url, html):
         try:
             return web_chunks(urls.website_url(url), html or "", group, at, size)
-        except ValueError:
+        except (ValueError, AttributeError):  # no address, or none of a website
             return []
 
+    chunks = arrow_lists(of_page, spec)
     return pages.select(F.explode(chunks("url", "html")).alias("c")).select("c.*")
 
 

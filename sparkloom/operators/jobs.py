@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.schema import FILE_METADATA, JOB_STATUS, struct
+from sparkloom.schema import FILE_METADATA, JOB_STATUS, names_of
 
 IN_FLIGHT, POLL_SECONDS, STALE_MINUTES = 2, 2, 15
 STALE_MESSAGE = "Job timed out"
@@ -73,10 +73,18 @@ def active_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin(*ACTIVE)).orderBy("created_at", "id")
 
 
+def job_status(jobs: DataFrame, job_id: str) -> dict:
+    """The row of a job; an id that isn't there is an error."""
+    found = jobs.where(F.col("job_id") == job_id).limit(1).collect()
+    if not found:
+        raise ValueError(f"no such job: {job_id}")
+    return found[0].asDict()
+
+
 def upload_rows(paths: list[tuple[str, int]], collection: str, task: str, params: dict, now: str, repo: str | None = None, group: str | None = None, start_id: int = 1) -> tuple[list[dict], list[dict], list[str]]:
     """A pending job and a pending file row for each (path, size); a path without a name is an error of its own."""
     job_rows, file_rows, errors = [], [], []
-    blank = lambda spec: dict.fromkeys(struct(spec).names)
+    blank = lambda spec: dict.fromkeys(names_of(spec))
     for i, (path, size) in enumerate(paths):
         name = path.replace("\\", "/").rpartition("/")[2]
         if not name:

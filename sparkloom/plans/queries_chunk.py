@@ -72,22 +72,20 @@ def n9_web_chunks(spark, sf):
 
 
 def m1_sections(spark, sf):
-    @F.udf("array<struct<heading_path: array<string>, content: string>>")
-    def found(h):
-        return [(s["heading_path"], s["content"]) for s in html.sections(h or "")[1]]
-
+    found = chunk.arrow_lists(lambda h: [{"heading_path": s["heading_path"], "content": s["content"]} for s in html.sections(h or "")[1]], "array<struct<heading_path: array<string>, content: string>>")
     rows = t(spark, sf, "pages").select("page_id", F.posexplode(found("html")).alias("i", "s"))
     return rows.select("page_id", "i", F.array_join("s.heading_path", " > ").alias("path"), F.char_length("s.content").alias("chars"))
 
 
-def m5_page_links(spark, sf):
-    @F.udf("array<string>")
-    def found(h, u):
-        try:
-            return html.page_links(h or "", u)
-        except ValueError:
-            return []
+def _page_links(h, u):
+    try:
+        return html.page_links(h or "", u or "")
+    except ValueError:
+        return []
+
 
+def m5_page_links(spark, sf):
+    found = chunk.arrow_lists(_page_links, "array<string>")
     return t(spark, sf, "pages").select("page_id", F.explode(found("html", "url")).alias("link"))
 
 
@@ -99,10 +97,7 @@ def m9_crawl(spark, sf):
 
 
 def a6_html_text(spark, sf):
-    @F.udf("string")
-    def text(h):
-        return html.loader_text(h or "")
-
+    text = chunk.arrow_lists(lambda h: html.loader_text(h or ""), "string")
     return t(spark, sf, "pages").select("page_id", F.char_length(text("html")).alias("chars"))
 
 

@@ -11,6 +11,15 @@ def struct(spec: str) -> T.StructType:
     return T._parse_datatype_string(spec)
 
 
+def names_of(spec: str) -> list[str]:
+    """The columns of a schema, for places without a session."""
+    plain, depth = "", 0
+    for c in spec:
+        depth += (c == "<") - (c == ">")
+        plain += c if depth == 0 else ""
+    return [x.split()[0] for x in plain.split(",")]
+
+
 SPARSE = "struct<indices array<bigint>, values array<float>>"
 POINT = f"id string, document string, dense array<float>, sparse {SPARSE}, payload string"
 DOCUMENT_CHUNK = "id string, file_name string, content string, doc_type string, chunk_index bigint, page bigint, metadata string, created_at string"

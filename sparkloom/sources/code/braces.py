@@ -32,9 +32,12 @@ def c_parameters(text: str) -> list[dict]:
     for p in split_list(text):
         if p == "void":
             continue
+        if p == "...":
+            out.append({"name": p, "type": ""})
+            continue
         p = re.sub(r"\s*=.*$", "", p, flags=re.S)
         m = re.search(r"\(\s*\*\s*(\w+)\s*\)|(\w+)\s*((?:\[[^\]]*\])*)$", p)
-        name = (m[1] or m[2]) if m and p != "..." else ""
+        name = (m[1] or m[2]) if m else ""
         kind = p if not name else re.sub(r"\s+", " ", (p[: m.start()] + (m[3] or "") if not m[1] else p.replace(m[1], ""))).strip()
         out.append({"name": name if kind else "", "type": kind or p})
     return out
@@ -48,6 +51,11 @@ def includes(text: str) -> list[str]:
     return list(dict.fromkeys(m[1] or m[2] for m in re.finditer(r'(?m)^[ \t]*#[ \t]*include[ \t]*(?:<([^>]+)>|"([^"]+)")', text)))
 
 
+def in_source_order(rows: list[tuple[int, dict]]) -> list[dict]:
+    """Chunks by where they start; those that start together as they were found."""
+    return [r for _, r in sorted(rows, key=lambda x: x[0])]
+
+
 def c(path: str, text: str) -> list[dict]:
     """O1."""
     deps, out, spans = includes(text), [], []
@@ -125,19 +133,19 @@ def csharp(path: str, text: str) -> list[dict]:
             if kind == "record" and (s := re.search(r"\(([^)]*)\)", b.header)):
                 properties = _typed(s[1]) + properties
             code = text[b.start : b.end] if kind in ("interface", "enum", "struct") else text[b.start : b.open].rstrip() + "\n{\n" + "".join(f"    {p.strip()}\n" for p, _ in props) + "}"
-            out.append(chunk(path, "CSharp", kind, code, deps, t[2], class_name=None if kind == "interface" else t[2], interface_name=t[2] if kind == "interface" else None, properties=properties))
+            out.append((b.start, chunk(path, "CSharp", kind, code, deps, t[2], class_name=None if kind == "interface" else t[2], interface_name=t[2] if kind == "interface" else None, properties=properties)))
         elif (s := signature(_bare(b.header))) and up and up[0][1] != "interface" and "=" not in s[0]:
-            out.append(chunk(path, "CSharp", "method", text[b.start : b.end], deps, s[1], class_name=up[0][2], function_name=s[1], parameters=_typed(s[2]), return_type=_type(s[0]) or None))
+            out.append((b.start, chunk(path, "CSharp", "method", text[b.start : b.end], deps, s[1], class_name=up[0][2], function_name=s[1], parameters=_typed(s[2]), return_type=_type(s[0]) or None)))
     inside = lambda at: next((x for b in reversed(all_blocks) if b.open < at < b.end and (x := _CS_TYPE.search(_bare(b.header)))), None)
     for x in re.finditer(r"(?m)^[ \t]*((?:[\w\[\]]+\s+)*?)delegate\s+([\w<>\[\], ?]+?)\s+(\w+)\s*(?:<[^>]*>)?\(([^)]*)\)\s*;", m):
-        out.append(chunk(path, "CSharp", "delegate", text[x.start() : x.end()].strip(), deps, x[3], function_name=x[3], parameters=_typed(x[4]), return_type=x[2]))
+        out.append((x.start(), chunk(path, "CSharp", "delegate", text[x.start() : x.end()].strip(), deps, x[3], function_name=x[3], parameters=_typed(x[4]), return_type=x[2])))
     for x in re.finditer(r"(?m)^[ \t]*((?:[\w.<>\[\]?,]+\s+)+)(\w+)\s*(?:<[^>]*>)?\(([^()]*)\)\s*=>[^;]*;", m):
         owner = inside(x.start())
         if owner and owner[1] != "interface" and not set(x[1].split()) & {"return", "new", "await", "var", "case"}:
-            out.append(chunk(path, "CSharp", "method", text[x.start() : x.end()].strip(), deps, x[2], class_name=owner[2], function_name=x[2], parameters=_typed(x[3]), return_type=_type(re.sub(_MODIFIERS, "", x[1])) or None))
+            out.append((x.start(), chunk(path, "CSharp", "method", text[x.start() : x.end()].strip(), deps, x[2], class_name=owner[2], function_name=x[2], parameters=_typed(x[3]), return_type=_type(re.sub(_MODIFIERS, "", x[1])) or None)))
     for x in re.finditer(r"(?m)^[ \t]*((?:public|internal|private|sealed|abstract|partial|readonly)\s+)*record\s+(?:struct\s+|class\s+)?(\w+)\s*(?:<[^>]*>)?\(([^)]*)\)[^;{]*;", m):
-        out.append(chunk(path, "CSharp", "record", text[x.start() : x.end()].strip(), deps, x[2], class_name=x[2], properties=_typed(x[3])))
-    return out
+        out.append((x.start(), chunk(path, "CSharp", "record", text[x.start() : x.end()].strip(), deps, x[2], class_name=x[2], properties=_typed(x[3]))))
+    return in_source_order(out)
 
 
 _JAVA_TYPE = re.compile(r"(?:^|\s)(class|@?interface|enum|record)\s+(\w+)")
@@ -164,7 +172,7 @@ def java(path: str, text: str) -> list[dict]:
 
 
 _JS_DECL = re.compile(r"(?:^|\s)(?:export\s+(?:default\s+)?)?(async\s+)?function\s*(\*)?\s*([\w$]+)?\s*(?:<[^()]*>)?\s*\(")
-_JS_BOUND = re.compile(r"(?:^|\s)(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+(?:=>[^=]+)?)?=\s*(?:[\w$.]+\s*(?:<[^()]*>)?\(\s*)*(async\s+)?(?:function\s*(\*)?\s*[\w$]*\s*)?(?:<[^()]*>\s*)?\(?")
+_JS_BOUND = re.compile(r"(?:^|\s)(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+(?:=>[^=]+)?)?=\s*(?:(?!async\b)[\w$.]+\s*(?:<[^()]*>)?\(\s*)*(async\s+)?(?:function\s*(\*)?\s*[\w$]*\s*)?(?:<[^()]*>\s*)?\(?")
 _JS_METHOD = re.compile(r"^(?:(?:public|private|protected|static|readonly|override|abstract|get|set)\s+)*(async\s+)?(\*)?\s*(#?[\w$]+|\[[^\]]*\])\s*(?:<[^()]*>)?\(")
 _JS_CLASS = re.compile(r"(?:^|\s)(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+([\w$]+)")
 
@@ -227,12 +235,12 @@ def _script(path: str, text: str, kind: str) -> list[dict]:
             continue
         span = _whole(m, b)
         after = re.match(r"\s*:\s*(.+?)\s*(?:=>)?\s*$", f["after"], re.S)
-        out.append(chunk(path, kind, "method" if f["owner"] else "function", text[span[0] : span[1]], deps, f["name"], class_name=f["owner"], function_name=f["name"], parameters=_js_parameters(f["args"]), return_type=after[1] if after and kind == "TypeScript" else None, is_method=f["owner"] is not None, is_async=f["is_async"], is_generator=f["is_generator"]))
+        out.append((b.start, chunk(path, kind, "method" if f["owner"] else "function", text[span[0] : span[1]], deps, f["name"], class_name=f["owner"], function_name=f["name"], parameters=_js_parameters(f["args"]), return_type=after[1] if after and kind == "TypeScript" else None, is_method=f["owner"] is not None, is_async=f["is_async"], is_generator=f["is_generator"])))
         spans.append(span)
     if kind == "TypeScript":
         for b in blocks(m):
             if x := re.search(r"(?:^|\s)(?:export\s+)?(?:declare\s+)?(?:const\s+)?(interface|enum)\s+(\w+)", b.header):
-                out.append(chunk(path, kind, x[1], text[b.start : b.end], deps, x[2], class_name=x[2]))
+                out.append((b.start, chunk(path, kind, x[1], text[b.start : b.end], deps, x[2], class_name=x[2])))
                 spans.append((b.start, b.end))
         for x in re.finditer(r"(?m)^[ \t]*(?:export\s+)?type\s+(\w+)\s*(?:<[^=]*>)?\s*=", m):
             end = x.end()
@@ -242,10 +250,10 @@ def _script(path: str, text: str, kind: str) -> list[dict]:
                 if m[end] == "\n" and depth == 0 and not re.match(r"\s*[|&]", m[end:]) and m[x.end() : end].strip() and not m[:end].rstrip().endswith(("|", "&", "=")):
                     break
                 end += 1
-            out.append(chunk(path, kind, "type", text[x.start() : end + 1].strip(), deps, x[1], class_name=x[1]))
+            out.append((x.start(), chunk(path, kind, "type", text[x.start() : end + 1].strip(), deps, x[1], class_name=x[1])))
             spans.append((x.start(), end + 1))
     rest = remainder(text, spans)
-    return out + ([chunk(path, "Generic", "remainder", rest, deps)] if rest else [])
+    return in_source_order(out) + ([chunk(path, "Generic", "remainder", rest, deps)] if rest else [])
 
 
 def javascript(path: str, text: str) -> list[dict]:
@@ -317,16 +325,16 @@ def rust(path: str, text: str) -> list[dict]:
             end = closing(b.header, at)
             args = [{"name": n.strip().removeprefix("mut ").strip(), "type": k.strip()} for n, _, k in (p.partition(":") for p in split_list(b.header[at + 1 : end]))]
             ret = re.match(r"\s*->\s*(.+?)\s*(?:\bwhere\b.*)?$", b.header[end + 1 :], re.S)
-            out.append(chunk(path, "Rust", "function", text[b.start : b.end], deps, f[1], class_name=owner(b), function_name=f[1], parameters=args, return_type=ret[1].strip() if ret else None, namespace=space))
+            out.append((b.start, chunk(path, "Rust", "function", text[b.start : b.end], deps, f[1], class_name=owner(b), function_name=f[1], parameters=args, return_type=ret[1].strip() if ret else None, namespace=space)))
         elif t := _RUST_TYPE.search(b.header):
-            out.append(chunk(path, "Rust", t[1], text[b.start : b.end], deps, t[2], class_name=t[2], namespace=space))
+            out.append((b.start, chunk(path, "Rust", t[1], text[b.start : b.end], deps, t[2], class_name=t[2], namespace=space)))
         else:
             continue
         spans.append((b.start, b.end))
     covered = lambda at: any(a <= at < e for a, e in spans)
     for x in re.finditer(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)\s*(?:<[^;{]*>)?\s*(?:\([^;]*\))?\s*;", m):
         if not covered(x.start()):
-            out.append(chunk(path, "Rust", "struct", text[x.start() : x.end()].strip(), deps, x[1], class_name=x[1]))
+            out.append((x.start(), chunk(path, "Rust", "struct", text[x.start() : x.end()].strip(), deps, x[1], class_name=x[1])))
             spans.append((x.start(), x.end()))
     rest = remainder(text, spans)
-    return out + ([chunk(path, "Generic", "remainder", rest, deps)] if rest else [])
+    return in_source_order(out) + ([chunk(path, "Generic", "remainder", rest, deps)] if rest else [])

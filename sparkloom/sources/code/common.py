@@ -91,9 +91,25 @@ def masked(text: str, line: tuple[str, ...] = ("//",), block: tuple[tuple[str, s
     return "".join(out)
 
 
+_COMMENT = re.compile(r"""'(?:''|\\.|[^'])*'?|"(?:\\.|[^"])*"?|`(?:\\.|[^`])*`?|/\*|\(\*|(?://|--|#)[^\n]*""", re.S)
+_EDGES = {"/*": re.compile(r"/\*|\*/"), "(*": re.compile(r"\(\*|\*\)")}
+
+
 def strip_comments(text: str) -> str:
-    """Of all the usual kinds, outside quotes."""
-    return "\n".join(x.rstrip() for x in masked(text, ("//", "--", "#"), (("/*", "*/"), ("(*", "*)")), nested=True, keep_strings=True).split("\n"))
+    """Without comments of all the usual kinds, outside quotes; a block, nested or not, leaves a newline, and at most two stay in a row."""
+    out, at = [], 0
+    while m := _COMMENT.search(text, at):
+        out.append(text[at : m.start()])
+        at, edge = m.end(), _EDGES.get(m[0])
+        if edge:
+            depth = 1
+            while depth and (e := edge.search(text, at)):
+                depth, at = depth + (1 if e[0] == m[0] else -1), e.end()
+            at = len(text) if depth else at
+            out.append("\n")
+        elif m[0][0] in "'\"`":
+            out.append(m[0])
+    return re.sub(r"\n{3,}", "\n\n", "".join([*out, text[at:]]))
 
 
 @dataclass

@@ -89,7 +89,7 @@ def python(path: str, text: str) -> list[dict]:
             elif isinstance(n, (ast.Assign, ast.AnnAssign)) and isinstance(n.value, ast.Lambda):
                 name = ast.unparse(n.target if isinstance(n, ast.AnnAssign) else n.targets[0])
                 span = _span(n, starts, data)
-                out.append(chunk(path, "Python", "lambda", code_of(span), deps, name, class_name=owner, function_name=name, parameters=_parameters(n.value.args), is_method=owner is not None))
+                out.append(chunk(path, "Python", "lambda", code_of(span), deps, name, class_name=owner, function_name=name, parameters=_parameters(n.value.args), is_method=owner is not None, is_async=False, is_generator=False))
                 spans.append(span)
             else:
                 visit(n, owner)

@@ -92,17 +92,16 @@ def strip_sql_comments(text: str) -> str:
 
 
 def strip_boilerplate(text: str) -> tuple[str, str | None]:
-    """(text without batch separators and session settings, brackets unwrapped; the database that it uses)."""
-    database, out = None, []
+    """(text without the lines of batch separators and session settings, brackets unwrapped; the database that it uses)."""
+    database, kept = None, []
     for line in text.split("\n"):
-        bare = line.strip().rstrip(";").strip()
-        if use := re.fullmatch(r"(?i)USE\s+\[?([\w$ -]+?)\]?", bare):
+        bare = line.strip().lstrip("\ufeff")
+        words = bare.upper().split()
+        if use := re.fullmatch(r"(?i)use\s+\[?([^\s;\]]+)\]?\s*;?", bare):
             database = use[1]
-        elif bare.upper() == "GO" or line.strip() == "/" or re.fullmatch(r"(?i)SET\s+(?:ANSI_NULLS|QUOTED_IDENTIFIER)\s+(?:ON|OFF)", bare):
-            out.append("")
-        else:
-            out.append(re.sub(r"\[([A-Za-z_][\w $]*)\]", r"\1", line))
-    return "\n".join(out), database
+        elif not (words in (["GO"], ["/"]) or len(words) == 3 and words[0] == "SET" and words[1] in ("ANSI_NULLS", "QUOTED_IDENTIFIER") and words[2] in ("ON", "OFF")):
+            kept.append(line)
+    return re.sub(r"\[([^\]]*)\]", r"\1", "\n".join(kept)), database
 
 
 def statement_type(code: str) -> str:

@@ -8,9 +8,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkloom.functions import urls
+from sparkloom.operators.chunk import arrow_lists
 from sparkloom.sources import html as hx
 
 MAX_PAGES, MAX_SITEMAPS, MAX_LISTED, MAX_SITEMAP_BYTES = 1000, 512, 250_000, 50 << 20
@@ -67,10 +67,7 @@ def crawl(spark: SparkSession, pages: DataFrame, start: str, depth: int, listed:
     seen = spark.createDataFrame([(u, urls.canonical(u), 0, i) for i, u in enumerate(seeds)], schema).dropDuplicates(["key"])
     out, frontier, fetched = seen, seen, 0
 
-    @F.udf(T.ArrayType(T.StringType()))
-    def links(html, url):
-        return hx.page_links(html, url, start) if html else []
-
+    links = arrow_lists(lambda html, url: hx.page_links(html, url, start) if html else [], "array<string>")
     for level in range(depth):
         if cancelled():
             raise Cancelled("website crawl cancelled")

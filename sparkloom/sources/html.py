@@ -65,6 +65,8 @@ class _Tree(HTMLParser):
             self.open = child
 
     def handle_endtag(self, tag):
+        if tag in ("body", "html"):  # what follows is still the body's
+            return
         for node in self.open.ancestors():
             if node.tag == tag and node.parent is not None:
                 self.open = node.parent

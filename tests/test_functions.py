@@ -47,7 +47,7 @@ def test_text_columns(spark):
 
 def test_code_cleaning():
     assert clean_code("\tint x { get;  set; }\n\n\n\n\tvoid f() { }  ") == "int x {get;set;}\n\nvoid f(){}"
-    assert strip_comments("a // x\nb /* y /* z */ */ c\n'--' -- d") == "a\nb" + " " * 17 + "c\n'--'"
+    assert strip_comments("a // x\nb /* y /* z */ */ c\n'--' -- d") == "a \nb \n c\n'--' "
     assert merged_spans([(5, 9), (0, 2), (2, 3), (8, 12)]) == [(0, 3), (5, 12)]
     assert remainder("abcdef", [(1, 3), (90, 99)]) == "adef" and remainder("  \nx", [(3, 4)]) == ""
 
