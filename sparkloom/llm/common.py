@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _release: list[Callable[[], None]] = []
+_scopes: list[list[str]] = []
 
 
 def on_release(clear: Callable[[], None]) -> None:
@@ -48,10 +50,13 @@ def collector_paused() -> Iterator[None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, for local masters only:
+    on a cluster each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="sparkloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -60,17 +65,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no one else uses."""
-    return f"{shared_dir(spark)}/sparkloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sparkloom/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: the rows are written as a Parquet table in the shared folder and read from there.
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table or folder; nothing may read it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage: the rows are written as a Parquet table in the shared folder and read from there; and the table's path.
 
     Files in the shared folder survive the loss of any executor.
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    return written(df, label)[0]
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
+    """written(make()), and the scratch tables and files that make() left are deleted."""
+    _scopes.append([])
+    try:
+        found, path = written(make(), label)
+    finally:
+        made = _scopes.pop()
+    for x in made:
+        if x != path:
+            drop(spark, x)
+    if _scopes:
+        _scopes[-1].append(path)
+    return found, path
 
 
 def salted_join(rows: DataFrame, key: str, classes: DataFrame) -> DataFrame:
@@ -85,10 +118,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def filesystem(path: str):
-    """(pyarrow file system, path in it) of a URI or plain path; for use inside tasks."""
+    """(pyarrow file system, path in it) of a URI or plain path; for use inside tasks. Hadoop's names of S3 are S3's."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def write_bytes(path: str, data: bytes) -> None:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, shuffle_partitions
+from sparkloom.llm.common import drop, shuffle_partitions, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links is never gathered: see _with_least().
     """
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e, before = materialize(e, "links"), None
+    (e, path), before = written(e, "links"), None
     while True:
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
@@ -49,8 +49,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
-        small = _with_least(materialize(large, "stars"))
+        large, middle = written(large, "stars")
+        small = _with_least(large)
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.where("v = m").select("u", "v"))
-        e = materialize(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        gone = (path, middle)
+        e, path = written(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        for x in gone:
+            drop(links.sparkSession, x)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

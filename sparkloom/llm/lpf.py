@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -262,7 +263,7 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], folder: str, text_col: str,
             cuts = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1)).tolist()
             counts = np.minimum(counts, 65535).astype(np.uint16)
             # kind -1: a row that every chunk gets back, anchors or not
-            yield _messages([(b, name, 0, _packed(hashes[i:j], counts[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j] + [(hash(name) % buckets, name, -1, b"")])
+            yield _messages([(b, name, 0, _packed(hashes[i:j], counts[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j] + [(zlib.crc32(name.encode()) % buckets, name, -1, b"")])
 
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
@@ -288,7 +289,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], folder: str, text_col: str,
         data, offsets = byte_rows(batch, text_col)
         ids = batch.column(id_col).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
         pieces = [(low, r, *(x for x in rest)) for low, r, *rest in window_runs(data, offsets, least, gram)]
-        yield _messages([(hash(name) % buckets, name, -1, b"")])
+        yield _messages([(zlib.crc32(name.encode()) % buckets, name, -1, b"")])
         if not pieces:
             write_bytes(f"{folder}/{name}.runs", _packed(*[np.zeros(0, np.int64)] * 6))
             continue
