@@ -496,3 +496,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+#: Windows by their MD5, islands of windows that overlap or touch, and the bytes between them.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+     w AS (SELECT k, unnest(range(1, octet_length(b) - {LEAST - 2})) AS p, b FROM d WHERE octet_length(b) >= {LEAST}),
+     h AS (SELECT k, p, md5(array_slice(b, p, p + {LEAST - 1})) AS m FROM w),
+     r AS (SELECT k, p FROM h QUALIFY count(*) OVER (PARTITION BY m) > 1),
+     i AS (SELECT k, p, sum(CASE WHEN p > q + {LEAST} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) AS island FROM (SELECT k, p, lag(p, 1, p) OVER (PARTITION BY k ORDER BY p) AS q FROM r)),
+     s AS (SELECT k, min(p) AS a, max(p) + {LEAST} AS z FROM i GROUP BY k, island),
+     g AS (SELECT k, a, z, lag(z, 1, 1) OVER (PARTITION BY k ORDER BY a) AS after FROM s),
+     t AS (SELECT k, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(array_slice(b, after, a - 1)), '' ORDER BY a) AS head FROM g JOIN d USING (k) GROUP BY k)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN t.k IS NULL THEN b ELSE unhex(head || hex(array_slice(b, last, octet_length(b)))) END) AS kept_sha256
+FROM d LEFT JOIN t USING (k)
+"""

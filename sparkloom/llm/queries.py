@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_near_vectors": ego_join.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
+    "op5_repeats": lpf.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
