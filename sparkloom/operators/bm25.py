@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,3 +155,21 @@ def search(spark: SparkSession, docs: DataFrame, query: str, limit: int, id_col:
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     terms = query_terms(query)
     return scores(hits(docs, terms, id_col, text_col), total, terms).orderBy(F.desc("score"), "id").limit(limit)
+
+
+class SparseEmbed(Protocol):
+    """Vectors of documents, as a column; of a query, its terms. By default a query is embedded as documents are."""
+
+    def documents(self, text: Column) -> Column: ...
+
+    def query(self, text: str) -> list: ...
+
+
+class Bm25:
+    """The default."""
+
+    def documents(self, text: Column) -> Column:
+        return sparse_column(text)
+
+    def query(self, text: str) -> list:
+        return query_terms(text, stemmed=True)

@@ -153,6 +153,21 @@ def chunk_documents(docs: DataFrame, size: int = TEXT_TOKENS, overlap: int = TEX
     return rows.withColumn("chunk_index", (F.row_number().over(place) - 1).cast("bigint")).drop("piece_idx", "source_idx")
 
 
+def running_offsets(rows: DataFrame, file: str, order: str, n: str, block: int = 4096) -> DataFrame:
+    """Rows with `offset`, the sum of n over all rows before them in their file, by a numeric order.
+
+    Blocks of consecutive orders have totals; those are summed along a file, a row per block, and rows inside their block: a file in
+    a third of all rows is many tasks' work.
+    """
+    blocked = rows.withColumn("_block", F.floor(F.col(order) / block))
+    totals = blocked.groupBy(file, "_block").agg(F.sum(n).alias("_total"))
+    along = W.partitionBy(file).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(file, "_block", F.coalesce(F.sum("_total").over(along), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(file, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    found = blocked.join(before, (blocked[file].eqNullSafe(before[file])) & (blocked["_block"] == before["_block"])).select(blocked["*"], "_before")
+    return found.withColumn("offset", F.col("_before") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("_block", "_before")
+
+
 def neighbours(chunks: DataFrame, page: str = "page_id", order: str = "chunk_index", id_col: str = "id") -> DataFrame:
     """Ids of the chunks before and after within a page, how many there are, and their hashes."""
     w = W.partitionBy(page).orderBy(order)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,33 @@ def top_k(points: DataFrame, vector: list[float], k: int, id_col: str = "id", ve
     return fits.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+class EncodeQuery(Protocol):
+    """What encodes a query."""
+
+    dim: int
+
+    def encode_query(self, text: str) -> list[float]: ...
+
+
+class EncodeDocuments(Protocol):
+    """R2: what encodes documents, a batch at a time."""
+
+    dim: int
+
+    def encode_documents(self, texts: list[str]) -> list[list[float]]: ...
+
+
+def padded_length(lengths: list[int], most: int = 512) -> int:
+    """tokens that all sequences of a batch are padded to: the longest, cut at `most`; at least one."""
+    return max([1, *(min(n, most) for n in lengths)])
+
+
+def providers(available: list[str], device: str = "auto") -> list[str]:
+    """Inference providers in the order of choice: a device that was asked for (or any but the CPU) where it is there, then the CPU."""
+    wanted = [p for p in available if p != "CPUExecutionProvider" and (device == "auto" or device.lower() in p.lower())]
+    return [*([] if device == "cpu" else wanted), "CPUExecutionProvider"]
+
+
 class HashEncoder:
     """A deterministic encoder that needs no weights: signed hashes of the words, summed over the text, of `dim` dimensions."""
 
@@ -65,13 +93,13 @@ class HashEncoder:
 class OnnxEncoder:
     """An ONNX model with its tokenizer: 512 tokens, mean over the unmasked token vectors, no normalisation."""
 
-    def __init__(self, folder: str, dim: int = DIMENSION):
+    def __init__(self, folder: str, dim: int = DIMENSION, device: str = "auto"):
         import onnxruntime
         from tokenizers import Tokenizer
 
         options = onnxruntime.SessionOptions()
         options.intra_op_num_threads = 1
-        self.dim, self.session = dim, onnxruntime.InferenceSession(f"{folder}/model.onnx", options)
+        self.dim, self.session = dim, onnxruntime.InferenceSession(f"{folder}/model.onnx", options, providers=providers(onnxruntime.get_available_providers(), device))
         self.tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
         self.tokenizer.enable_truncation(512)
         self.tokenizer.enable_padding()

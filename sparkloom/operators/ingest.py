@@ -13,7 +13,7 @@ from sparkloom.functions.paths import is_code, is_skipped, skipped
 from sparkloom.functions.text import repo_of_zip
 from sparkloom.functions.urls import website_url
 from sparkloom.operators import chunk, dense
-from sparkloom.operators.bm25 import sparse_column
+from sparkloom.operators.bm25 import Bm25, SparseEmbed
 from sparkloom.operators.collection import Store, replacement_clause
 from sparkloom.schema import SPARSE
 from sparkloom.sources import loaders
@@ -30,9 +30,9 @@ def point_id(*parts: Column) -> Column:
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-def points_of(rows: DataFrame, make: Callable[[], object] = dense.HashEncoder) -> DataFrame:
+def points_of(rows: DataFrame, make: Callable[[], dense.EncodeDocuments] = dense.HashEncoder, sparse: SparseEmbed | None = None) -> DataFrame:
     """Points of rows (id, document, text, payload columns): both vectors are those of `text`; payload that a row lacks is null."""
-    encoded = dense.encode_documents(rows, "text", "dense", make).withColumn("sparse", sparse_column(F.col("text")))
+    encoded = dense.encode_documents(rows, "text", "dense", make).withColumn("sparse", (sparse or Bm25()).documents(F.col("text")))
     columns = [x.split() for x in PAYLOAD.split(", ")]
     return encoded.select("id", "document", "dense", "sparse", *((F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in columns))
 
@@ -85,6 +85,16 @@ def page_rows(pages: DataFrame, group: str, at: str) -> DataFrame:
     return chunks.select("id", F.col("content").alias("document"), text.alias("text"), F.col("url").alias("file_name"), F.lit("website").alias("doc_type"), "chunk_index", F.lit(group).alias("group"), "url", "website_key", F.col("embedded_at").alias("created_at"), meta.alias("metadata"))
 
 
+def progress_marks(total: int, every: int = 100) -> list[tuple[int, int]]:
+    """Q14: (documents done, percentage) at every so many of them and at the end."""
+    return [(n, n * 100 // total) for n in [*range(every, total, every), *([total] if total else [])]]
+
+
+def total_bytes(files: DataFrame) -> DataFrame:
+    """the sum of the files' sizes (path, content)."""
+    return files.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"))
+
+
 class Ingestor:
     """The four tasks over a store of collections. A task's parameters name files in storage that Spark reads; nothing is fetched to the driver
     but counts and errors."""

@@ -143,3 +143,20 @@ def poll(jobs: DataFrame, registry: Registry, emit: Callable[[dict], None], now:
     if not ends:
         return running
     return progressed(running, jobs.sparkSession.createDataFrame(ends, "job_id string, percentage int, status string, result string, error string"))
+
+
+def poll_loop(load: Callable[[], DataFrame], save: Callable[[DataFrame], None], registry: Registry, emit: Callable[[dict], None], clock: Callable[[], tuple[str, str]], stop: Callable[[], bool], seconds: float = 2.0) -> int:
+    """Q2: rounds of poll() until told to stop; the table is read and written by the caller's functions, clock gives (now, cutoff).
+    Returns the number of rounds. A round that fails is reported, and the loop lives (Q7)."""
+    import time
+
+    rounds = 0
+    while not stop():
+        try:
+            save(poll(load(), registry, emit, *clock()))
+        except Exception as e:  # noqa: BLE001
+            emit({"job_id": None, "event": "poll_failed", "error": str(e)})
+        rounds += 1
+        if not stop():
+            time.sleep(seconds)
+    return rounds

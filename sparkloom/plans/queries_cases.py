@@ -183,7 +183,9 @@ CASES: dict[str, tuple[Callable, list[Case]]] = {
     "k4_stems": (one(stem.stem), [(w, [w], [s]) for w, s in (("consign", "consign"), ("consigned", "consign"), ("consigning", "consign"), ("consignment", "consign"), ("consist", "consist"), ("consistency", "consist"), ("consistently", "consist"), ("consolation", "consol"), ("consolidate", "consolid"), ("knack", "knack"), ("knackeries", "knackeri"), ("knights", "knight"), ("knocking", "knock"), ("skies", "sky"), ("dying", "die"), ("hopping", "hop"), ("hoping", "hope"), ("relational", "relat"), ("generously", "generous"), ("happy", "happi"), ("by", "by"), ("say", "say"), ("rate", "rate"))]),
     "k5_term_ids": (one(lambda w: stem.term_of(w)[1]), [("rust", ["rust"], [326552902])]),
     "f9_mean_pooling": (lambda v, m: [round(float(x), 4) for x in dense.mean_pool(np.array(v, np.float32), np.array(m))[0]], [("masked", [[[[1, 2], [3, 4], [9, 9]]], [[1, 1, 0]]], [2.0, 3.0]), ("nothing", [[[[1, 2]]], [[0]]], [0.0, 0.0])]),
-    "h1_rerank_order": (lambda scores: fusion_order(scores), [("stable, NaN as equal", [[0.5, 0.9, 0.5, 0.9]], [1, 3, 0, 2])]),
+    "f17_padded_length": (one(dense.padded_length), [("cut", [[3, 900, 17]], [512]), ("longest", [[3, 17]], [17]), ("none", [[]], [1])]),
+    "j15_providers": (dense.providers, [("gpu first", [["CUDAExecutionProvider", "CPUExecutionProvider"], "auto"], ["CUDAExecutionProvider", "CPUExecutionProvider"]), ("asked for, not there", [["CPUExecutionProvider"], "cuda"], ["CPUExecutionProvider"]), ("cpu", [["CUDAExecutionProvider", "CPUExecutionProvider"], "cpu"], ["CPUExecutionProvider"])]),
+    "q14_progress_marks": (lambda n: [list(x) for x in ingest.progress_marks(n)], [("250", [250], [[100, 40], [200, 80], [250, 100]]), ("few", [7], [[7, 100]]), ("none", [0], [])]),
     "h6_chunk_limits": (one(limits.max_chunk_limit), [(str(n), [n], [v]) for n, v in ((None, 5), (0, 1), (7, 7), (99, 50), (-3, 1))]),
     "p6_uuid5": (one(lambda u: chunk.web_chunks(u, "<p>text</p>", "g", "t")[0]["page_id"]), [("of the address", ["https://example.com/"], ["dd2c1780-811a-5296-81c5-178a0ef488bc"])]),
     # --- catalog, tools, jobs ---
@@ -202,11 +204,6 @@ CASES: dict[str, tuple[Callable, list[Case]]] = {
 }
 
 
-def fusion_order(scores: list[float]) -> list[int]:
-    """Places of the candidates after a stable sort by falling score."""
-    return sorted(range(len(scores)), key=lambda i: -scores[i])
-
-
 def _query(name: str):
     f, cases = CASES[name]
 
@@ -387,6 +384,26 @@ def f1_count(spark, sf):
     return spark.createDataFrame([(collection.count_items(t(spark, sf, "documents")),)], "items long")
 
 
+def f18_total_bytes(spark, sf):
+    return ingest.total_bytes(spark.createDataFrame(FILES, "path string, content binary"))
+
+
+def q13_status_changes(spark, sf):
+    """The last status wins, and only a change is an event."""
+    rows = [(1, "b", "backend", None, None, None, "starting", None, None), (2, "b", "backend", None, None, None, "starting", None, None), (3, "b", "backend", None, None, None, "ready", None, None), (4, "b", "backend", None, None, None, "ready", None, None)]
+    return tracker.changes(spark.createDataFrame(rows, JOB_EVENT)).select("seq", "status")
+
+
+def q2_poll_loop(spark, sf):
+    """Two rounds of at most two jobs: the oldest pending first, an unknown task fails, what is stale fails."""
+    schema = "id long, job_id string, status string, created_at string, updated_at string, result string, error_message string, progress_percentage int, task_name string, task_params string"
+    rows = [(i, f"j{i}", st, f"2024-01-01T00:0{i}:00Z", f"2024-01-01T00:0{i}:00Z", None, None, 0, task, "{}") for i, st, task in ((1, "PENDING", "t"), (2, "PENDING", "zzz"), (3, "PENDING", "t"), (4, "RUNNING", "t"), (5, "PENDING", "t"))]
+    held, rounds = [rows], []
+    registry = jobs.Registry({"t": lambda p, progress: "ok"})
+    jobs.poll_loop(lambda: spark.createDataFrame(held[-1], schema), lambda df: held.append([tuple(r) for r in df.orderBy("id").collect()]), registry, rounds.append, lambda: ("2024-01-01T01:00:00Z", "2024-01-01T00:45:00Z"), lambda: len(held) > 2, 0)
+    return spark.createDataFrame(held[-1], schema).select("job_id", "status")
+
+
 def p1_times(spark, sf):
     return t(spark, sf, "events").select("event_id", tx.iso_seconds(F.col("ts")).alias("seconds"), tx.iso_micros(F.col("ts")).alias("micros"))
 
@@ -405,7 +422,7 @@ def j10_reranked(spark, sf):
 
 
 _TABLES = {
-    n4_ingested_documents: ([("docs/a.txt", "txt", 0, "g", "hello world", 8, 7, 36), ("docs/b.csv", "csv", 0, "g", "row 1: \n0: n: x\n1: a: 1", 8, 11, 36), ("docs/b.csv", "csv", 1, "g", "row 2: \n0: n: y\n1: a: 2", 8, 12, 36), ("docs/d.md", "md", 0, "g", "# T\n\ntext", 8, 6, 36)], "file_name, doc_type, chunk_index, \"group\", document, dim, terms, id_length"),
+    n4_ingested_documents: ([("docs/a.txt", "txt", 0, "g", "hello world", 8, 7, 36), ("docs/b.csv", "csv", 0, "g", "row 1: \n0: n: x\n1: a: 1", 8, 11, 36), ("docs/b.csv", "csv", 1, "g", "row 2: \n0: n: y\n1: a: 2", 8, 11, 36), ("docs/d.md", "md", 0, "g", "# T\n\ntext", 8, 6, 36)], "file_name, doc_type, chunk_index, \"group\", document, dim, terms, id_length"),
     q8_failed_files: ([("docs/c.docx",)], "file_name"),
     c11_payload: ([(0, "docs/b.csv", "table", "1", "docs/b.csv", "g"), (1, "docs/b.csv", "table", "2", "docs/b.csv", "g")], 'chunk_index, file_name, doc_type, "row", source, grp'),
     o11_ingested_code: ([("src/e.py", "py", "repo", 0, "def f():\n    return 1", "f", 8)], "file_name, doc_type, repo_name, chunk_index, document, function_name, dim"),
@@ -428,6 +445,9 @@ _TABLES = {
     h10_sitemaps_first: ([("https://h/d/z", 0, 0), ("https://h/d/", 0, 1), ("https://h/d/q", 1, 2), ("https://h/d/a", 1, 3)], "url, depth, pos"),
     q9_progress_events: ([("j", 100, "FINISHED", "done", True, 3)], "job_id, percentage, status, result, completed, events"),
     j4_posted_vectors: ([(1, 0, 326552902, 1.6877)] + [(2, i, k, 1.6653) for i, k in enumerate((226376294, 741580288, 771291085, 1312749093, 1621867415, 1913189942))] + [(3, None, None, None), (4, None, None, None)], "id, pos, term, weight"),
+    f18_total_bytes: ([(62,)], "bytes"),
+    q13_status_changes: ([(1, "starting"), (3, "ready")], "seq, status"),
+    q2_poll_loop: ([("j1", "FINISHED"), ("j2", "FAILED"), ("j3", "FINISHED"), ("j4", "FAILED"), ("j5", "FINISHED")], "job_id, status"),
     j10_reranked: ([("a", 1.0, 1), ("c", 1.0, 3), ("b", 0.0, 2)], "id, score, candidate_rank"),
 }
 _OF_TABLES = {

@@ -28,9 +28,10 @@ def g1_neighbours(spark, sf):
 
 def g3_running_index(spark, sf):
     """Positions over all lines of a source's documents."""
-    d = t(spark, sf, "documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("source_idx"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("piece", "content"))
-    w = W.partitionBy("file_name").orderBy("source_idx", "piece")
-    return d.select("file_name", "source_idx", "piece", (F.row_number().over(w) - 1).alias("chunk_index"))
+    d = t(spark, sf, "documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("source_idx"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n"))
+    placed = chunk.running_offsets(d, "file_name", "source_idx", "n")
+    rows = placed.select("file_name", "source_idx", "offset", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"))
+    return rows.select("file_name", "source_idx", "piece", (F.col("offset") + F.col("piece")).cast("int").alias("chunk_index"))
 
 
 def n7_merge(spark, sf):
