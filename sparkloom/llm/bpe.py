@@ -225,7 +225,8 @@ def _two_columns(docs: DataFrame, second: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every row; null text counts as empty, other columns are ignored, rows stay as they are, repeated or not."""
+    """(doc_id, ids) of every row; null text counts as empty and gives no ids, texts of any length are encoded whole, rows stay as they are,
+    repeated or not, with or without an id. An empty table gives an empty result; other columns, whatever their names, are ignored."""
     return _two_columns(docs, "text").mapInArrow(lambda it: _encode(it, path, pattern), "doc_id long, ids array<int>")
 
 

@@ -62,3 +62,35 @@ def test_edge_cases(spark):
     assert len(got) == 6 and got[1] > 0.5 > got[2] and got[3] == got[4]
     assert crf.score(docs.limit(0), model).count() == 0
     assert all(abs(r.score - 0.5) < 1e-6 for r in crf.score(docs, crf.fit(docs.limit(0).select("doc_id", "text", "quality"))).collect())
+
+
+def test_strides_carry_messages():
+    """Chains of several strides against the plain recursion, line by line."""
+    rng = np.random.default_rng(1)
+    n = 3 * crf.STRIDE + 40
+    by_doc, scores, pairs = np.array([0, n - 60, n - 59, n]), rng.normal(size=(n, 2)) * 3, rng.normal(size=(2, 2))
+    marginal, _, last = crf.forward_backward(scores, pairs, by_doc)
+    for d, (i, j) in enumerate(itertools.pairwise(by_doc)):
+        a, b = np.zeros((j - i, 2)), np.zeros((j - i, 2))
+        a[0] = scores[i]
+        for t in range(1, j - i):
+            a[t] = scores[i + t] + np.logaddexp.reduce(a[t - 1][:, None] + pairs, axis=0)
+        for t in range(j - i - 2, -1, -1):
+            b[t] = np.logaddexp.reduce(pairs + (scores[i + t + 1] + b[t + 1])[None, :], axis=1)
+        z = np.logaddexp.reduce(a[-1])
+        assert np.isclose(last[d], z) and np.allclose(marginal[i:j], np.exp(a + b - z), atol=1e-9)
+
+
+def test_four_megabytes_of_newlines():
+    """Linear in lines: a few seconds of CPU, where a step per line took minutes; and pieces of lines score as one."""
+    import time
+
+    rng = np.random.default_rng(2)
+    model = crf.Model(rng.normal(size=(3 * len(crf.FEATURES) + 1, 2)), rng.normal(size=(2, 2)), (1.0, 0.0))
+    data, began = np.full(4 << 20, 10, np.uint8), time.process_time()
+    (score,) = model.scores(data, np.array([0, len(data)]))
+    assert 0 <= score <= 1 and time.process_time() - began < 10
+    text = np.frombuffer("\n".join(f"line {i % 7} of Many, words {i}" for i in range(3 * crf.PIECE_LINES // 2)).encode(), np.uint8)
+    f, length, by_doc = crf.line_features(text, np.array([0, len(text)]))
+    q = model.raw(crf.with_neighbours(f, by_doc), length, by_doc)
+    assert np.allclose(model.scores(text, np.array([0, len(text)])), 1 / (1 + np.exp(-np.log(q / (1 - q)))))

@@ -48,3 +48,28 @@ def test_edge_cases(spark):
     assert got[3] == got[4] == got[5] == ("und", 0.0) and got[6] == ("en", 0.0)
     assert langid.predict(docs.limit(0), model).count() == 0
     assert [r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0).select("doc_id", "text", "lang"))).collect()] == ["und"] * 8
+
+
+def test_more_languages_than_bits_of_a_word():
+    rng = np.random.default_rng(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = {f"l{k:03}": "".join(rng.choice(list(letters), 400)) for k in range(150)}
+    counts = []
+    for x, t in made.items():
+        key, _ = langid.grams(*byte_rows(pa.RecordBatch.from_pydict({"text": [t]})))
+        counts += [(x, int(g), int(n)) for g, n in zip(*np.unique(key[key != 0], return_counts=True), strict=True)]
+    model = langid.build(counts, dict.fromkeys(made, 1))
+    assert len(model.masks) == 3
+    shares = model.shares(*byte_rows(pa.RecordBatch.from_pydict({"text": list(made.values())})))
+    assert (shares.argmax(axis=1) == np.arange(150)).all()
+
+
+def test_kept_grams_end_at_a_count(spark, monkeypatch):
+    """No more than MAX_GRAMS, and all or none of those with one count."""
+    monkeypatch.setattr(langid, "MAX_GRAMS", 6)
+    monkeypatch.setattr(langid, "MIN_COUNT", 1)
+    seen = []
+    monkeypatch.setattr(langid, "build", lambda rows, totals: seen.append((rows, totals)))
+    langid.fit(spark.createDataFrame([(1, "aaaaaaaaaa bcdefgh bcdefgh", "x"), (2, None, "x"), (3, "q", None)], "doc_id long, text string, lang string"))
+    (rows, totals), = seen
+    assert totals == {"x": 1} and 0 < len(rows) <= 6 and all(n >= 2 for _, _, n in rows)
