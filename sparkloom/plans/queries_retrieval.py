@@ -216,8 +216,20 @@ def _request(i: int, query: str, where: str, n: int, limit: int) -> str:
     best{i} AS (SELECT {i} AS request_idx, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, place) AS INTEGER) AS rank, id, chars, round(score, 6) AS score FROM scored{i} QUALIFY rank <= {limit})"""
 
 
+_SHOWN = """[CASE WHEN "group" IS NOT NULL THEN '"group":"' || "group" || '"' END, '"file_name":"' || file_name || '"', CASE WHEN doc_type IS NOT NULL THEN '"doc_type":"' || doc_type || '"' END, '"size":' || size, '"even":' || CASE WHEN even THEN 'true' ELSE 'false' END,
+    '"quarter":' || CAST(CAST(quarter AS DOUBLE) AS VARCHAR), CASE WHEN lang IS NOT NULL THEN '"lang":"' || lang || '"' END]"""
+_WORDS = ", ".join(f"'{w}'" for w in sorted(set(SEARCH_TEXT.lower().split())))
+
 ORACLE_SQL = {
     "search_words": f"WITH {_POSTINGS}, {_request(0, SEARCH_TEXT, "lang = 'en'", 50, 10)}, {_request(1, 'nation this there', 'true', 25, 5)} SELECT * FROM best0 UNION ALL SELECT * FROM best1",
+    "k12_tool_text": f"""WITH {POINTS}, {_POSTINGS}, {_request(0, SEARCH_TEXT, "source = 'src0'", 25, 5)}, {_request(1, SEARCH_TEXT, 'true', 25, 5)},
+        every AS (SELECT *, row_number() OVER (ORDER BY request_idx, rank) AS i FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1)),
+        lines AS (SELECT i, 'Result ' || i || ' (score: ' || printf('%.3f', score) || '):' || chr(10) || 'Metadata: {{' || array_to_string(list_filter({_SHOWN}, lambda x: x IS NOT NULL), ',') || '}}' AS line FROM every JOIN points USING (id))
+        SELECT 'Found ' || count(*) || ' results for ' || chr(39) || '{SEARCH_TEXT}' || chr(39) || chr(10) || chr(10) || string_agg(line, chr(10) || '---' || chr(10) ORDER BY i) FILTER (i <= 5) AS text FROM lines""",
+    "j10_rerank": f"""WITH {_SPARSE}, placed AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM sparse),
+        firsts AS (SELECT id, place, list_filter(list_transform([{_WORDS}], lambda w: list_position(regexp_extract_all(lower(substr(coalesce(text, ''), 1, 4000)), '[\\p{{L}}\\p{{N}}_]+'), w)), lambda x: x > 0) AS spots FROM placed JOIN documents ON doc_id = id WHERE place <= 50),
+        scored AS (SELECT id, place, (len(spots) + coalesce(list_sum(list_transform(spots, lambda x: 1.0 / (99 + x))), 0)) / {len(set(SEARCH_TEXT.lower().split()))}.0 AS score FROM firsts)
+        SELECT id, round(score, 8) AS score, CAST(place AS INTEGER) AS candidate_rank FROM scored ORDER BY round(scored.score, 12) DESC, place LIMIT 10""",
     "k1_tokens": "WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY token",
     "j4_bm25_weights": f"WITH {_POSTINGS} SELECT doc_id, term, tf, length, round(weight, 6) AS weight FROM post",
     "f8_term_statistics": f"WITH {_POSTINGS} SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM post GROUP BY term",
