@@ -17,6 +17,7 @@ _SPECIAL = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli",
     "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
 }
+EXCEPTIONS = sorted(_SPECIAL)
 _AFTER_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
 _STEP_2 = [("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble"), ("ogi", "og"), ("li", "")]
 _STEP_3 = [("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ative", ""), ("ical", "ic"), ("ness", ""), ("ful", "")]
@@ -131,6 +132,12 @@ def stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda xs: None if xs is None else [term_of(x)[0] for x in xs])
 
 
+@F.pandas_udf(T.LongType())
+def term_id(tokens: pd.Series) -> pd.Series:
+    """K4 and K5, of single tokens."""
+    return tokens.map(lambda x: None if x is None else term_of(x)[1])
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def term_ids(tokens: pd.Series) -> pd.Series:
     """K4 and K5: identifiers of the stems."""

@@ -67,12 +67,17 @@ def write_postings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     postings(docs, id_col, text_col, stemmed).repartitionByRange("term", F.xxhash64("id")).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
 
 
-def stem_forms(docs: DataFrame, terms: list, text_col: str = "text") -> DataFrame:
-    """(token, term): the corpus's tokens whose stems have these identifiers. Each distinct token is stemmed once."""
-    from sparkloom.functions.stem import term_ids
+def stem_forms(docs: DataFrame, terms: list, beginnings: list[str], text_col: str = "text") -> DataFrame:
+    """(token, term): the corpus's tokens whose stems have these identifiers, of stems with these beginnings.
 
-    tokens = docs.select(F.explode(F.array_distinct(tx.content_tokens(F.col(text_col)))).alias("token")).distinct()
-    return tokens.withColumn("term", term_ids(F.array("token"))[0]).where(F.col("term").isin(terms))
+    A stem's first two characters (or its only one) are those of the word, but for the stemmer's listed exceptions, so other tokens are
+    dropped inside their rows; what is left is stemmed once for each distinct token.
+    """
+    from sparkloom.functions.stem import EXCEPTIONS, term_id
+
+    may = F.filter(F.array_distinct(tx.content_tokens(F.col(text_col))), lambda x: F.substring(x, 1, 2).isin(beginnings) | F.substring(x, 1, 1).isin(beginnings) | x.isin(EXCEPTIONS))
+    tokens = docs.select(F.explode(may).alias("token")).distinct()
+    return tokens.withColumn("term", term_id("token")).where(F.col("term").isin(terms))
 
 
 def hits(docs: DataFrame, terms: list, id_col: str = "doc_id", text_col: str = "text", forms: list[tuple] | DataFrame | None = None) -> DataFrame:
@@ -96,9 +101,15 @@ def hits(docs: DataFrame, terms: list, id_col: str = "doc_id", text_col: str = "
     return _weighted(_documents(docs, id_col, tokens, chosen).select("id", "d.length", F.inline("d.counts")))
 
 
-def forms_of(docs: DataFrame, terms: list, text_col: str = "text") -> list[tuple] | DataFrame:
-    """stem_forms() as a list while they are FORMS at most, else as a table."""
-    found = stem_forms(docs, terms, text_col)
+def forms_of(docs: DataFrame, query: str, text_col: str = "text") -> list[tuple] | DataFrame:
+    """stem_forms() for a query's words as a list while they are FORMS at most, else as a table."""
+    from sparkloom.functions.stem import term_of
+
+    terms = query_terms(query, True)
+    if not terms:
+        return []
+    beginnings = sorted({term_of(w)[0][:2] for w in query_terms(query)})
+    found = stem_forms(docs, terms, beginnings, text_col)
     some = found.limit(FORMS + 1).collect()
     return [tuple(r) for r in some] if len(some) <= FORMS else found
 

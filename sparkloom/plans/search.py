@@ -56,7 +56,7 @@ class Engine:
         posted = self.postings.get(collection)
         if posted is None:
             if self.stemmed and forms is None:
-                forms = bm25.forms_of(self.collections[collection], terms, "document")
+                forms = bm25.forms_of(self.collections[collection], query, "document")
             posted = bm25.hits(points, terms, "id", "document", forms)
         else:
             posted = posted.where(F.col("term").isin(terms))
@@ -79,8 +79,7 @@ class Engine:
         forms = {}
         if self.stemmed:  # the tokens that stand for any request's stems, found once per collection
             for name in {r.collection for r in requests} - set(self.postings):
-                terms = sorted({t for r in requests if r.collection == name for t in bm25.query_terms(r.query, True)})
-                forms[name] = bm25.forms_of(self.collections[name], terms, "document") if terms else []
+                forms[name] = bm25.forms_of(self.collections[name], " ".join(r.query for r in requests if r.collection == name), "document")
         parts = []
         for i, r in enumerate(requests):
             limit = normalize_limit(r.limit)

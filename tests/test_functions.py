@@ -86,3 +86,26 @@ def test_uploads():
     j, f, e = jobs.upload_rows([("up/a.zip", 3), ("up/", 0)], "codebase", "process_zip", {"k": 1}, "2024-01-01T00:00:00Z", repo="r")
     assert len(j) == len(f) == len(e) == 1 and j[0]["storage_object_id"] == f[0]["storage_object_id"] and f[0]["status"] == "pending"
     assert jobs.one_kind(["a.zip", "b.txt", "c.ZIP"]) == ["a.zip", "c.ZIP"] and jobs.added_paths(["a"], ["b", "a", "b", "c"], 2) == ["a", "b"]
+
+
+def test_stems_begin_as_their_words():
+    """What stem_forms() rests on."""
+    import random
+
+    from sparkloom.functions.stem import EXCEPTIONS, stem
+
+    rng, letters = random.Random(1), "aeiouybcdglmnrstz'"
+    ends = ["", "s", "es", "ies", "ied", "ing", "ed", "edly", "ingly", "y", "ly", "ational", "ness", "ement", "e", "ll", "eed", "sses", "yed", "ying", "'s"]
+    for _ in range(60_000):
+        w = "".join(rng.choice(letters[:-1]) for _ in range(rng.randrange(1, 5))) + rng.choice(ends)
+        assert w in EXCEPTIONS or w.startswith(stem(w)[:2]), w
+
+
+def test_forms_of_a_query_are_all_found(spark):
+    from sparkloom.functions.stem import term_of
+    from sparkloom.operators import bm25
+
+    docs = spark.createDataFrame([(1, "connect connected connecting connection connections consist skies sky dying die"), (2, None), (3, "Connects ski")], "doc_id long, text string")
+    got = dict(bm25.forms_of(docs, "connection sky die"))
+    assert set(got) == {"connect", "connected", "connecting", "connection", "connections", "connects", "skies", "sky", "dying", "die"}
+    assert all(term_of(t)[1] == k for t, k in got.items()) and bm25.forms_of(docs, "the of") == []
