@@ -100,7 +100,7 @@ SQL_CODE = "USE db\nGO\n-- c\nCREATE TABLE [s].[t] (a INT);\nALTER TABLE s.t ADD
 
 CASES: dict[str, tuple[Callable, list[Case]]] = {
     # --- files ---
-    "a1_by_extension": (outcome(lambda n, b: [loaders.load(n, b.encode())[0]]), [("txt", ["a.TXT", "x"], ["txt"]), ("none", ["dir/README", "x"], ["txt"]), ("unknown", ["a.zzz", "x"], ["zzz"]), ("xls", ["a.xls", "x"], ["error"])]),
+    "a1_by_extension": (outcome(lambda n, b: [loaders.load(n, b.encode())[0]]), [("txt", ["a.TXT", "x"], ["txt"]), ("none", ["dir/README", "x"], ["txt"]), ("unknown", ["a.zzz", "x"], ["zzz"]), ("no workbook", ["a.xls", "x"], ["error"])]),
     "a2_text": (loaded, [("text", ["a.txt", "hello\n"], ["hello\n"]), ("blank", ["a.md", " \n\t"], []), ("bad bytes", ["a.mdx", "a\xff"], ["a�"])]),
     "a3_csv": (loaded, [("ragged", ["c.csv", "n,a\nx,1,9\n\ny\n"], [["row 1: \n0: n: x\n1: a: 1", None, {"source": "c.csv", "row": "1"}], ["row 2: \n0: n: y", None, {"source": "c.csv", "row": "2"}]]), ("header only", ["d.csv", "n,a\n"], [])]),
     "a4_json": (loaded, [("object", ["d.json", '{"b":1,"a":[2]}'], ['{\n  "a": [\n    2\n  ],\n  "b": 1\n}']), ("broken", ["e.json", "{oops"], ['"{oops"']), ("scalar", ["f.json", "3"], ["3"])]),

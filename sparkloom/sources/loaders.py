@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.paths import IMAGES, is_skipped
 from sparkloom.sources import html as hx
+from sparkloom.sources.workbooks import xls_sheets, xlsb_sheets
 
 LOADED = "file_name string, doc_type string, source_idx int, page bigint, content string, metadata map<string,string>, error string"
 Chunk = tuple[str, int | None, dict[str, str]]  # content, page, metadata
@@ -124,6 +125,10 @@ def xlsx_chunks(data: bytes) -> list[Chunk]:
     return out
 
 
+def _workbook(sheets: list[tuple[str, list[list[str]]]]) -> list[Chunk]:
+    return [c for name, rows in sheets for c in _sheet(name, rows)]
+
+
 def ods_chunks(data: bytes) -> list[Chunk]:
     """A8, of open document spreadsheets."""
     t, x = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}", "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
@@ -202,20 +207,14 @@ def pdf_chunks(data: bytes) -> list[Chunk]:
 
 LOADERS = {
     "csv": csv_chunks, "json": json_chunks, "xml": lambda d: _one(hx.xml_text(d)), "html": lambda d: _one(hx.loader_text(d.decode("utf-8", "replace"))), "htm": lambda d: _one(hx.loader_text(d.decode("utf-8", "replace"))),
-    "odt": odt_chunks, "xlsx": xlsx_chunks, "ods": ods_chunks, "pdf": pdf_chunks, "docx": docx_chunks, "doc": docx_chunks,
+    "odt": odt_chunks, "xlsx": xlsx_chunks, "ods": ods_chunks, "xls": lambda d: _workbook(xls_sheets(d)), "xlsb": lambda d: _workbook(xlsb_sheets(d)), "pdf": pdf_chunks, "docx": docx_chunks, "doc": docx_chunks,
 }
-#: Binary workbooks need a library that isn't part of this engine; files of these kinds come back with an error.
-UNREADABLE = {"xls", "xlsb"}
-
-
 def load(name: str, data: bytes) -> tuple[str, list[Chunk]]:
     """A1: (document type, chunks) of one file. Unknown extensions are text; images give nothing."""
     base = name.replace("\\", "/").rpartition("/")[2]
     ext = base.rpartition(".")[2].lower() if "." in base else "txt"
     if ext in IMAGES:
         return ext, []
-    if ext in UNREADABLE:
-        raise ValueError(f".{ext} workbooks can't be read here")
     if ext == "csv":
         return ext, csv_chunks(data, name)
     return "docx" if ext == "doc" else ext, LOADERS.get(ext, text_chunks)(data)
