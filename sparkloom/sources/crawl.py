@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import re
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import urls
@@ -54,6 +57,15 @@ def discover_sitemaps(fetch: Callable[[str], bytes | None], start: str, body: st
     return sorted(found)[:MAX_LISTED]
 
 
+def _checkpoints(spark: SparkSession) -> str:
+    """The session's folder for checkpoints; without one, a folder of this machine for local masters."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="sparkloom-crawl-")
+
+
 def crawl(spark: SparkSession, pages: DataFrame, start: str, depth: int, listed: list[str] = (), max_pages: int = MAX_PAGES, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
     """M9: (url, depth, pos) in order of discovery, of pages (url, html).
 
@@ -63,6 +75,8 @@ def crawl(spark: SparkSession, pages: DataFrame, start: str, depth: int, listed:
     start = urls.website_url(start)
     site = pages.withColumn("key", urls.canonical_column(F.col("url"))).dropDuplicates(["key"]).select("key", "html")
     schema = "url string, key string, depth int, pos bigint"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_checkpoints(spark))
     seeds = list(dict.fromkeys([*listed, start]))
     seen = spark.createDataFrame([(u, urls.canonical(u), 0, i) for i, u in enumerate(seeds)], schema).dropDuplicates(["key"])
     out, frontier, fetched = seen, seen, 0
@@ -76,12 +90,12 @@ def crawl(spark: SparkSession, pages: DataFrame, start: str, depth: int, listed:
             work = work.limit(max(0, max_pages - fetched))
         got = work.join(site, "key").select("pos", F.posexplode(links("html", "url")).alias("i", "url"))
         new = got.withColumn("key", urls.canonical_column(F.col("url"))).groupBy("key").agg(F.min_by("url", F.struct("pos", "i")).alias("url"), F.min(F.struct("pos", "i")).alias("at")).join(out.select("key"), "key", "left_anti")
-        rows = new.orderBy("at").select("url", "key").collect()  # one level's new links of one site, bounded by max_pages fetches
-        fetched += frontier.count()
-        if not rows:
-            break
+        fetched += work.count()
         base = out.count()
-        frontier = spark.createDataFrame([(r.url, r.key, level + 1, base + i) for i, r in enumerate(rows)], schema)
+        place = F.row_number().over(W.orderBy("at"))  # one level of one site
+        frontier = new.select("url", "key", F.lit(level + 1).alias("depth"), (F.lit(base) + place - 1).cast("bigint").alias("pos")).checkpoint()
+        if frontier.isEmpty():
+            break
         out = out.unionByName(frontier)
     return out.select("url", "depth", "pos")
 
