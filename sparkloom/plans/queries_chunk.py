@@ -91,10 +91,11 @@ def m5_page_links(spark, sf):
 
 
 def m9_crawl(spark, sf):
-    """From the page with the smallest address: what its links lead to, two levels deep."""
-    pages = t(spark, sf, "pages").select("url", "html")
-    first = pages.agg(F.min("url")).first()[0]
-    return crawl.crawl(spark, pages, first.partition("/en")[0].partition("?")[0], 2)
+    """A site of one page for each row of `pages`, page k leading to 2k + 1 and 2k + 2: six levels from page 0."""
+    k = F.col("page_id")
+    link = lambda n: F.concat(F.lit('<p><a href="/'), n.cast("string"), F.lit('">next</a></p>'))
+    site = t(spark, sf, "pages").select(F.concat(F.lit("https://h/"), F.when(k > 0, k.cast("string")).otherwise("")).alias("url"), F.concat(link(k * 2 + 1), link(k * 2 + 2), F.lit('<a href="https://other/">out</a>')).alias("html"))
+    return crawl.crawl(spark, site, "https://h/", 6, max_pages=0).select("url", "depth", "pos")
 
 
 def a6_html_text(spark, sf):
@@ -195,6 +196,8 @@ _FIELD = "arg_max({0}, seq) FILTER ({0} IS NOT NULL) AS {0}"
 _LAG = " AND ".join(f"{c} IS NOT DISTINCT FROM lag({c}) OVER w" for c in ("event", *tracker.FIELDS))
 
 ORACLE_SQL = {
+    "m9_crawl": """WITH RECURSIVE r AS (SELECT 0::BIGINT AS k, 0 AS depth UNION ALL SELECT unnest([2 * r.k + 1, 2 * r.k + 2]), depth + 1 FROM r WHERE depth < 6 AND r.k IN (SELECT page_id FROM pages))
+        SELECT 'https://h/' || CASE WHEN k > 0 THEN CAST(k AS VARCHAR) ELSE '' END AS url, depth, row_number() OVER (ORDER BY depth, k) - 1 AS pos FROM r""",
     "g1_neighbours": "SELECT conv_id AS page_id, turn AS chunk_index, 'c' || conv_id || '-' || turn AS id, lag('c' || conv_id || '-' || turn) OVER w AS prev_chunk_id, lead('c' || conv_id || '-' || turn) OVER w AS next_chunk_id, count(*) OVER (PARTITION BY conv_id) AS total_chunks, substr(sha256(coalesce(text, '')), 1, 16) AS chunk_hash FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "g3_running_index": "WITH l AS (SELECT source AS file_name, doc_id AS source_idx, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), p AS (SELECT file_name, source_idx, unnest(range(0, len(lines))) AS piece FROM l) SELECT file_name, source_idx, CAST(piece AS INTEGER) AS piece, CAST(row_number() OVER (PARTITION BY file_name ORDER BY source_idx, piece) - 1 AS INTEGER) AS chunk_index FROM p",
     "n7_merge": """WITH d AS (SELECT doc_id, list_reduce(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: [strlen(l)]), lambda a, x: CASE WHEN a[len(a)] >= 400 THEN list_concat(a, x) ELSE list_concat(a[1:len(a) - 1], [a[len(a)] + 1 + x[1]]) END) AS b FROM documents)
