@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import limits
 from sparkloom.functions import text as tx
+from sparkloom.functions.stem import stem, term_of
 from sparkloom.operators import bm25, dense, fusion
 from sparkloom.plans.common import POINTS, points, t
 from sparkloom.plans.predicate import but_not, compile_filter, filtered
@@ -88,7 +89,7 @@ def a20_search_rows(spark, sf):
 
 def search(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: two requests, hybrid, reranked, with stems."""
-    return _flagship(spark, sf, True)
+    return _flagship(spark, sf, True).withColumn("score", F.round("score", 6))
 
 
 def search_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,9 +200,24 @@ fused AS (SELECT id, sum(1.0 / (60 + rank)) AS score FROM both_lists GROUP BY id
 
 
 
-def _request(i: int, query: str, where: str, n: int, limit: int) -> str:
-    """The CTEs of a request without stems: prefetched lists, fusion to n candidates, lexical scores, the best `limit`."""
-    terms, words = ", ".join(f"'{x}'" for x in bm25.query_terms(query)), ", ".join(f"'{x}'" for x in sorted(set(query.lower().split())))
+_SUFFIXES = "s es 's ed eds ing ings edly ingly ly li y ies ied e ment ments ness ful fully fulness ous ously ousness ive ively iveness ize ized izes izing izer izers ization al als ally ality alism ational tional ation ations ator ators ance ances ence ences anci enci able ible ably bly ability ant ants ent ents ently ism ate ated ates ating iti ity ion ions ional er ers ic ics ical ically icate less lessly".split()
+
+
+def _forms(query: str) -> str:
+    """A table of words and their stems: of a query's stems every word that its letters and up to two endings make and that has this stem."""
+    stems = {term_of(w)[0] for w in bm25.query_terms(query)}
+    found = {}
+    for s in stems:
+        bases = {s, s[:-1] + "y", s + "e", s + s[-1], s + "t", s[:-1]}
+        words = {b + x + y for b in bases for x in ["", *_SUFFIXES] for y in ["", "s", "ed", "ing", "ly", "er", "ness"]}
+        found |= {w: s for w in words if stem(w) == s}
+    return f"forms AS (SELECT * FROM (VALUES {', '.join(repr((w, s)) for w, s in sorted(found.items()) if chr(39) not in w)}) f(token, stem))"
+
+
+def _request(i: int, query: str, where: str, n: int, limit: int, stemmed: bool = False) -> str:
+    """The CTEs of a request: prefetched lists, fusion to n candidates, lexical scores, the best `limit`."""
+    terms = ", ".join(f"'{x}'" for x in (sorted({term_of(w)[0] for w in bm25.query_terms(query)}) if stemmed else bm25.query_terms(query)))
+    words = ", ".join(f"'{x}'" for x in sorted(set(query.lower().split())))
     return f"""
     own{i} AS (SELECT doc_id FROM documents WHERE {where}),
     df{i} AS (SELECT term, count(*) AS df FROM post WHERE term IN ({terms}) AND doc_id IN (SELECT doc_id FROM own{i}) GROUP BY term),
@@ -216,12 +232,17 @@ def _request(i: int, query: str, where: str, n: int, limit: int) -> str:
     best{i} AS (SELECT {i} AS request_idx, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, place) AS INTEGER) AS rank, id, chars, round(score, 6) AS score FROM scored{i} QUALIFY rank <= {limit})"""
 
 
+_STEMMED = f"""{_TOKENS}, {_forms(SEARCH_TEXT + ' nation this there')}, len AS (SELECT doc_id, count(*) AS length FROM kept GROUP BY doc_id),
+tf AS (SELECT doc_id, stem AS term, count(*) AS tf FROM kept JOIN forms ON token = term GROUP BY ALL),
+post AS (SELECT doc_id, term, tf, length, tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / 256.0)) AS weight FROM tf JOIN len USING (doc_id))"""
 _SHOWN = """[CASE WHEN "group" IS NOT NULL THEN '"group":"' || "group" || '"' END, '"file_name":"' || file_name || '"', CASE WHEN doc_type IS NOT NULL THEN '"doc_type":"' || doc_type || '"' END, '"size":' || size, '"even":' || CASE WHEN even THEN 'true' ELSE 'false' END,
     '"quarter":' || CAST(CAST(quarter AS DOUBLE) AS VARCHAR), CASE WHEN lang IS NOT NULL THEN '"lang":"' || lang || '"' END]"""
 _WORDS = ", ".join(f"'{w}'" for w in sorted(set(SEARCH_TEXT.lower().split())))
 
 ORACLE_SQL = {
     "search_words": f"WITH {_POSTINGS}, {_request(0, SEARCH_TEXT, "lang = 'en'", 50, 10)}, {_request(1, 'nation this there', 'true', 25, 5)} SELECT * FROM best0 UNION ALL SELECT * FROM best1",
+    "search": f"""WITH {POINTS}, {_STEMMED}, {_request(0, SEARCH_TEXT, "lang = 'en'", 50, 10, True)}, {_request(1, 'nation this there', 'true', 25, 5, True)}
+        SELECT request_idx, rank, id, coalesce(document, '') AS document, '{{' || array_to_string(list_filter({_SHOWN}, lambda x: x IS NOT NULL), ',') || '}}' AS metadata, score FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1) JOIN points USING (id)""",
     "k12_tool_text": f"""WITH {POINTS}, {_POSTINGS}, {_request(0, SEARCH_TEXT, "source = 'src0'", 25, 5)}, {_request(1, SEARCH_TEXT, 'true', 25, 5)},
         every AS (SELECT *, row_number() OVER (ORDER BY request_idx, rank) AS i FROM (SELECT * FROM best0 UNION ALL SELECT * FROM best1)),
         lines AS (SELECT i, 'Result ' || i || ' (score: ' || printf('%.3f', score) || '):' || chr(10) || 'Metadata: {{' || array_to_string(list_filter({_SHOWN}, lambda x: x IS NOT NULL), ',') || '}}' AS line FROM every JOIN points USING (id))
