@@ -106,10 +106,10 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> t
     return found, path
 
 
-def salted_join(rows: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+def salted_join(rows: DataFrame, key: str, classes: DataFrame, how: str = "inner") -> DataFrame:
     """rows (with a column `salt`) joined with their key's class, without salt. Any part of the rows may share a key: classes are joined to
     the distinct (key, salt) first, of which a key has few, and rows meet those, so a common key's rows are spread by their salts."""
-    runs = rows.select(key, "salt").distinct().join(classes, key)
+    runs = rows.select(key, "salt").distinct().join(classes, key, how)
     return rows.join(runs, [key, "salt"]).drop("salt")
 
 
