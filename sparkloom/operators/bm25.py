@@ -149,6 +149,11 @@ def term_statistics(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df) straight from texts: each document's distinct terms, counted before the shuffle."""
+    return docs.select(F.explode(F.array_distinct(tx.content_tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def scores(posted: DataFrame, total: DataFrame, terms: list) -> DataFrame:
     """(id, score) of the documents that share a term with the query.
 

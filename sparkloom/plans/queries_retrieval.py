@@ -37,7 +37,7 @@ def j4_bm25_weights(spark, sf):
 
 def f8_term_statistics(spark, sf):
     d = t(spark, sf, "documents")
-    s = bm25.term_statistics(bm25.postings(d).select("term"))
+    s = bm25.document_frequencies(d)
     n = d.agg(F.count(F.lit(1)).alias("n"))
     return s.join(F.broadcast(n), how="cross").select("term", "df", F.round(bm25.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
