@@ -271,6 +271,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = entries.select("key", "rep", "copies").join(counts, F.col("rep") == F.col("node"), "left").join(comps, "rep", "left")
     classes = classes.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     members = plain.select("vec_id", key.alias("key"), F.pmod(F.xxhash64("vec_id") + F.spark_partition_id(), F.lit(salts)).alias("salt"))
+    members = materialize(members, "members")  # the salts have to be the same wherever they are read
     linked_rows = salted_join(members, "key", classes).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     others = rows.where(F.col("vec_id").isNull() | ~_usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.unionByName(others).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
