@@ -162,9 +162,16 @@ def replaced_scopes(scopes: DataFrame, tool_id: int, rows: DataFrame) -> DataFra
     return scopes.where(F.col("tool_id") != tool_id).unionByName(rows)
 
 
-def connection_info(server: str, port: int = 18651) -> dict[str, str]:
-    """T14."""
-    return {"name": server, "url": f"http://127.0.0.1:{port}/mcp?server_id={server}"}
+#: Where clients' configuration files keep a server, and what they say of it beside its address.
+CLIENTS = {"claude_desktop": ("mcpServers", {}), "opencode": ("mcp", {"type": "remote"}), "vscode": ("servers", {"type": "http"})}
+
+
+def connection_info(server: str, port: int = 18651) -> dict:
+    """A server's address, and what each client's configuration needs."""
+    base = f"http://127.0.0.1:{port}/mcp"
+    address = f"{base}?server_id={server}"
+    snippets = {client: {section: {server: {**more, "url": address}}} for client, (section, more) in CLIENTS.items()}
+    return {"mcp_url": base, "server_id": server, "server_name": server, "full_url": address, "config_snippets": snippets}
 
 
 def scope_options(points: DataFrame, files: DataFrame) -> dict[str, DataFrame]:

@@ -194,6 +194,10 @@ CASES: dict[str, tuple[Callable, list[Case]]] = {
     "b9_index_types": (outcome(one(lambda k: collection.check_index("k", k) and "ok")), [(k, [k], [v]) for k, v in (("keyword", "ok"), ("integer", "ok"), ("float", "ok"), ("text", "ok"), ("datetime", "ok"), ("bool", "ok"), ("uuid", "ok"), ("geo", "ok"), ("blob", "error"))]),
     "b5_replacement": (lambda c, z, r: [collection.replacement_clause(c, zip_name=z, repo=r)], [("code", ["codebase", "a.zip", "r"], [{"repo_name": "r"}]), ("documents", ["general", "a.zip", "r"], [{"zip_filename": "a.zip"}])]),
     "j13_scopes": (lambda code, docs: [[r.collection, r.where] for r in scope_requests([tuple(x) for x in code], [tuple(x) for x in docs])], [("none", [[], []], [["codebase", {}]]), ("code first", [[["codebase", ["a"]], ["", []]], [["general", ["x", "y"]]]], [["codebase", {"repo_name": "a"}], ["codebase", {}], ["general", {"$or": [{"group": "x"}, {"group": "y"}]}]])]),
+    "t14_connection": (lambda s, port: [f"{k}={text(v)}" for k, v in sorted(catalog.connection_info(s, port).items())], [("address and snippets", ["docs", 9000], [
+        'config_snippets={"claude_desktop":{"mcpServers":{"docs":{"url":"http://127.0.0.1:9000/mcp?server_id=docs"}}},"opencode":{"mcp":{"docs":{"type":"remote","url":"http://127.0.0.1:9000/mcp?server_id=docs"}}},"vscode":{"servers":{"docs":{"type":"http","url":"http://127.0.0.1:9000/mcp?server_id=docs"}}}}',
+        "full_url=http://127.0.0.1:9000/mcp?server_id=docs", "mcp_url=http://127.0.0.1:9000/mcp", "server_id=docs", "server_name=docs",
+    ])]),
     "s5_query_payload": (lambda q, sel: [views.query_payload(q, "general", "group", sel)["query"], views.query_payload(q, "general", "group", sel)["where"]], [("two", [" a ", ["x", "y"]], ["a", {"$or": [{"group": "x"}, {"group": "y"}]}]), ("none", ["b", []], ["b", {}])]),
     "s6_tool_forms": (lambda r, g, w: [views.tool_scopes(r, g, w), views.tool_form(views.tool_scopes(r, g, w), set(w))], [("there and back", [["r"], ["g"], ["w"]], [[{"collection": "codebase", "repo_names": ["r"]}, {"collection": "general", "group_ids": ["g", "w"]}], {"repos": ["r"], "groups": ["g"], "websites": ["w"]}])]),
     "s8_added_paths": (jobs.added_paths, [("room for three", [["a"], ["b", "a", "b", "c", "d"], 3], ["a", "b", "c"])]),
