@@ -20,7 +20,7 @@ from sparkloom.functions import text as tx
 from sparkloom.operators import bm25, catalog, chunk, collection, dense, fusion, ingest, jobs, views
 from sparkloom.plans.common import t
 from sparkloom.plans.predicate import FilterError, filtered
-from sparkloom.plans.search import Engine, formatted, rows_of_batches, scope_requests
+from sparkloom.plans.search import Engine, Request, formatted, rows_of_batches, scope_requests
 from sparkloom.schema import JOB_EVENT, migrated
 from sparkloom.sources import crawl, html, loaders
 from sparkloom.sources.code import common, dispatch, sql
@@ -408,6 +408,26 @@ def q2_poll_loop(spark, sf):
     return spark.createDataFrame(held[-1], schema).select("job_id", "status")
 
 
+def c4_hidden_documents(spark, sf):
+    """Requests in their order, each reranked; the last one hides the documents of all."""
+    texts = ["rust is a systems programming language", "the cat sat on a mat", "python is a programming language for data", "gardens need water"]
+    encoder = dense.HashEncoder(8)
+    points = spark.createDataFrame([(str(i), x, encoder.encode_query(x), "r" if i % 2 else "s", i) for i, x in enumerate(texts)], "id string, document string, dense array<float>, repo_name string, n int")
+    engine = Engine(spark, {"codebase": points}, encode_query=encoder.encode_query)
+    return engine.run([Request("codebase", "language", 2), Request("codebase", "cats", 1, False, {"repo_name": "r"})]).select("request_idx", "rank", "id", "document", "metadata")
+
+
+def q12_ordered_scrape(spark, sf):
+    """Pages in the order that they were asked for; one that isn't there has no body."""
+    wanted = spark.createDataFrame([(2, "https://h/c"), (0, "https://h/a"), (1, "https://h/b")], "pos bigint, url string").repartition(3)
+    return crawl.fetch_pages(wanted, lambda u: None if u.endswith("b") else u[-1].encode()).select("pos", "url", F.decode("body", "utf-8").alias("body"))
+
+
+def p8_json_pointers(spark, sf):
+    e = t(spark, sf, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.nope").alias("nope"))
+
+
 def p1_times(spark, sf):
     return t(spark, sf, "events").select("event_id", tx.iso_seconds(F.col("ts")).alias("seconds"), tx.iso_micros(F.col("ts")).alias("micros"))
 
@@ -449,12 +469,15 @@ _TABLES = {
     h10_sitemaps_first: ([("https://h/d/z", 0, 0), ("https://h/d/", 0, 1), ("https://h/d/q", 1, 2), ("https://h/d/a", 1, 3)], "url, depth, pos"),
     q9_progress_events: ([("j", 100, "FINISHED", "done", True, 3)], "job_id, percentage, status, result, completed, events"),
     j4_posted_vectors: ([(1, 0, 326552902, 1.6877)] + [(2, i, k, 1.6653) for i, k in enumerate((226376294, 741580288, 771291085, 1312749093, 1621867415, 1913189942))] + [(3, None, None, None), (4, None, None, None)], "id, pos, term, weight"),
+    c4_hidden_documents: ([(0, 1, "2", "", '{"repo_name":"s","n":2}'), (0, 2, "0", "", '{"repo_name":"s","n":0}'), (1, 1, "1", "", '{"repo_name":"r","n":1}')], 'request_idx, "rank", id, document, metadata'),
+    q12_ordered_scrape: ([(0, "https://h/a", "a"), (1, "https://h/b", None), (2, "https://h/c", "c")], "pos, url, body"),
     f18_total_bytes: ([(62,)], "bytes"),
     q13_status_changes: ([(1, "starting"), (3, "ready")], "seq, status"),
     q2_poll_loop: ([("j1", "FINISHED"), ("j2", "FAILED"), ("j3", "FINISHED"), ("j4", "FAILED"), ("j5", "FINISHED")], "job_id, status"),
     j10_reranked: ([("a", 1.0, 1), ("c", 1.0, 3), ("b", 0.0, 2)], "id, score, candidate_rank"),
 }
 _OF_TABLES = {
+    p8_json_pointers: "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.nope') AS nope FROM events",
     f1_count: "SELECT count(*) AS items FROM documents",
     p1_times: "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS seconds, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS micros FROM events",
 }
