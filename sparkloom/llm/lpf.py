@@ -35,7 +35,7 @@ from sparkloom.llm.common import byte_rows, filesystem, materialize, release_kep
 LEAST, GRAM = 200, 100
 CHUNK_BYTES = 8 << 20
 #: Window starts hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Anchors with more occurrences are divided by window.
 HOT = 2000
 #: Bytes of text in one suffix order.
@@ -256,6 +256,7 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tup
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], folder: str, text_col: str, least: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    release_kept()
     for batch in batches:
         for name in batch.column("chunk").to_pylist():
             found = [h for _, _, h, _, _, _ in window_runs(*byte_rows(_read_chunk(folder, name), text_col), least, gram)]
@@ -268,6 +269,7 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], folder: str, text_col: str,
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """0: occurs once, 1: again, 2: very often. One bucket, or several whole ones, in a task."""
+    release_kept()
     rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "data")), strict=True)]
     sent = [(b, c, *_unpacked(d)) for b, c, k, d in rows if k == 0]
     yield _messages([r for r in rows if r[2] < 0])
@@ -284,6 +286,7 @@ def _answer_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.
 
 def _send_windows(batches: Iterator[pa.RecordBatch], folder: str, text_col: str, id_col: str, least: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: texts around anchors, kind 1: hashes of windows. What the chunk needs to understand the answers is kept beside it."""
+    release_kept()
     for name, answers in _by_chunk(batches):
         batch = _read_chunk(folder, name)
         data, offsets = byte_rows(batch, text_col)
@@ -365,6 +368,7 @@ def _judge_texts(h: np.ndarray, windows: np.ndarray, multiple: np.ndarray, text:
 
 def _answer_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """For each entry of a chunk: bits of repeated windows, bits of first ones, and whether the chunk holds the entry's first occurrence."""
+    release_kept()
     rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "data")), strict=True)]
     yield _messages([r for r in rows if r[2] < 0])
     for kind in (0, 1):
@@ -433,6 +437,7 @@ def _removed_spans(starts: np.ndarray, offsets: np.ndarray, least: int) -> tuple
 
 
 def _cut(batches: Iterator[pa.RecordBatch], folder: str, text_col: str, least: int, keep_first: bool, render: Callable) -> Iterator[pa.RecordBatch]:
+    release_kept()
     for name, answers in _by_chunk(batches):
         batch = _read_chunk(folder, name)
         data, offsets = byte_rows(batch, text_col)
