@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact_dedup, langid, lpf, minhash, packing
+from sparkloom.llm import exact_dedup, langid, lpf, packing, wide_simhash
 from sparkloom.llm.common import drop, settled, table
 
 
@@ -27,8 +27,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of at least 0.8 of their five-word shingles the one with the smallest doc_id stays."""
-    found = minhash.jaccard_components(docs)
+    """Of texts linked by a Jaccard similarity of at least 0.8 of their five-word shingles the one with the smallest doc_id stays;
+    candidates come from SimHash."""
+    found = wide_simhash.near_components(docs)
     copies = found.groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("kept")).where("not kept")
     return docs.join(copies.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -44,7 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language ID", language), ("exact dedup", exact), ("near-dedup", near), ("suffix-array dedup", repeats), ("packing", packed)]
+STAGES = [("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near), ("suffix-array dedup", repeats), ("packing", packed)]
 
 #: SQL can't express the stages; tests/llm/test_pipeline.py holds each against brute force.
 ORACLE_SQL = None
