@@ -28,12 +28,18 @@ def on_release(clear: Callable[[], None]) -> None:
     _release.append(clear)
 
 
+def give_back() -> None:
+    """Gives free memory back to the system: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release_kept() -> None:
     """Frees such tables, and gives free memory back. For tasks of other operators: workers live on from stage to stage."""
     for clear in _release:
         clear()
-    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
 
 
 @contextlib.contextmanager
@@ -48,6 +54,19 @@ def collector_paused() -> Iterator[None]:
             gc.enable()
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs meanwhile hands Python workers at most so many rows at a time: a batch is held by the JVM and by the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    if not 0 < int(was) <= most:
+        spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, for local masters only:
     on a cluster each executor would write to its own disk."""

@@ -25,6 +25,8 @@ SAMPLE_ROWS, MAX_GRAMS, BITS = 4000, 30_000, 64
 #: An n-gram is typical of a language that has it this often at least, and not this much less often than another language.
 MIN_COUNT, MIN_SHARE = 3, 0.05
 SLOTS, HASHES = 1 << 20, 3
+#: Bytes of texts that are looked up at a time.
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
@@ -144,7 +146,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     release_kept()
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", SLICE_BYTES):
         shares = model.shares(*byte_rows(batch))
         best = shares.argmax(axis=1) if model.languages else np.zeros(len(shares), np.int64)
         total = shares.sum(axis=1)
@@ -173,7 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def _accepted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     release_kept()
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", SLICE_BYTES):
         asked = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])
         found = next(_predict(iter([asked]), model)) if batch.num_rows else asked
         yield batch.filter(pa.array([x != UNDETERMINED for x in found.column("lang_pred").to_pylist()], pa.bool_()))

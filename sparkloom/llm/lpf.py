@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import byte_rows, filesystem, materialize, release_kept, scratch, shuffle_partitions, sliced, table, write_bytes
+from sparkloom.llm.common import byte_rows, filesystem, give_back, materialize, release_kept, scratch, shuffle_partitions, sliced, table, write_bytes
 
 LEAST, GRAM = 200, 100
 CHUNK_BYTES = 8 << 20
@@ -236,6 +236,7 @@ def _write_chunks(batches: Iterator[pa.RecordBatch], folder: str, text_col: str)
 
 
 def _read_chunk(folder: str, name: str) -> pa.RecordBatch:
+    give_back()  # what the chunk before took
     system, base = filesystem(folder)
     with system.open_input_file(f"{base}/{name}") as f, pa.ipc.open_stream(f) as rows:
         return rows.read_all().combine_chunks().to_batches()[0]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import byte_rows, materialize, sliced, table
+from sparkloom.llm.common import arrow_rows, byte_rows, give_back, materialize, release_kept, sliced, table
 from sparkloom.llm.tokens import library_encoder
 
 WINDOW = 2048
@@ -29,6 +29,8 @@ END_ID = 1
 #: Do full windows of long documents go out alone? (Else every document travels whole.)
 WHOLE_WINDOWS = True
 SHARD_TOKENS = 2 << 20
+#: Rows of whole texts that a worker gets at a time, and bytes of them that are encoded at a time.
+BATCH_ROWS, SLICE_BYTES = 2000, 1 << 18
 #: BM25; a seed's terms are asked QUERY_TERMS at a time by falling weight, its neighbours NEIGHBOURS at a time.
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 32
 #: Tasks in which document frequencies meet before the driver adds them (as many numbers each as the vocabulary has).
@@ -63,7 +65,8 @@ def _tokens(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.Re
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
-    for batch in sliced(batches, "text"):
+    give_back()
+    for batch in sliced(batches, "text", SLICE_BYTES):
         rows = []
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(*byte_rows(batch)), strict=True):
             x = np.concatenate([ids, end])
@@ -209,6 +212,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 def _pack(batches: Iterator[pa.RecordBatch], stats: bytes, kind: str) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    release_kept()
     numbers = np.frombuffer(stats, np.int64)
     df, n, tokens = numbers[:-2].astype(np.float64), numbers[-2], numbers[-1]
     idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), tokens / max(n, 1)
@@ -245,7 +249,8 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     documents of their own, as are rows with a null id. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = materialize(rows.mapInArrow(lambda it: _tokens(it, tokenizer), TOKENS), "tokens")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        encoded = materialize(rows.mapInArrow(lambda it: _tokens(it, tokenizer), TOKENS), "tokens")
     met = encoded.where("stats is not null").select("stats").repartition(STAT_TASKS).mapInArrow(_summed, "stats binary")
     total = sum(np.frombuffer(r.stats, np.int64) for r in met.collect())
     stats = total.tobytes() if isinstance(total, np.ndarray) else b""

@@ -73,3 +73,17 @@ def test_kept_grams_end_at_a_count(spark, monkeypatch):
     langid.fit(spark.createDataFrame([(1, "aaaaaaaaaa bcdefgh bcdefgh", "x"), (2, None, "x"), (3, "q", None)], "doc_id long, text string, lang string"))
     (rows, totals), = seen
     assert totals == {"x": 1} and 0 < len(rows) <= 6 and all(n >= 2 for _, _, n in rows)
+
+
+def test_few_bytes_are_looked_up_at_a_time():
+    class Model:
+        languages, given = ["en"], []
+
+        def shares(self, data, offsets):
+            self.given.append(len(data))
+            return np.ones((len(offsets) - 1, 1))
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(1500), "text": ["word " * 400] * 1500})
+    assert sum(b.num_rows for b in langid._predict(iter([batch]), Model())) == 1500
+    assert sum(b.num_rows for b in langid._accepted(iter([batch]), Model())) == 1500
+    assert sum(Model.given) == 2 * 3_000_000 and max(Model.given) <= 1 << 20

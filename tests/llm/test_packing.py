@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from sparkloom.llm import packing
@@ -94,3 +95,27 @@ def test_rows_that_repeat_are_spread(spark):
     docs = spark.range(600).selectExpr("cast(if(id % 2 = 0, 7, null) AS long) AS doc_id", "'the same words in every row of this table' AS text").repartition(8)
     got = packing.pack(docs, PATH).collect()
     assert sum(p.start == 0 for p in got) == 600 and sum(p.length for p in got) == sum(p.doc_tokens for p in got if p.start == 0)
+
+
+def test_workers_hold_little_of_their_texts(spark, monkeypatch):
+    """Few rows come to a worker at a time and few bytes are encoded at a time; the session's setting stays as it was."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    monkeypatch.setattr(packing, "materialize", lambda df, label, f=packing.materialize: (seen.append(int(spark.conf.get(key))), f(df, label))[1])
+    was = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id long, text string")
+    check([(i, f"text number {i}") for i in range(50)], packing.pack(docs, PATH).collect())
+    assert seen and max(seen) <= 2000 and spark.conf.get(key) == was
+
+    class Encoder:
+        vocabulary, kind, given = 10, np.dtype("<u2"), []
+
+        def ids(self, data, offsets):
+            self.given.append(len(data))
+            return [np.full(max(b - a, 1), 3, "<u2") for a, b in zip(offsets, offsets[1:])]
+
+    monkeypatch.setattr(packing, "library_encoder", lambda path: Encoder())
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(1000), "text": ["x" * 2000] * 1000})
+    out = list(packing._tokens(iter([batch]), "any"))
+    assert sum(Encoder.given) == 2_000_000 and max(Encoder.given) <= 1 << 18
+    assert sum(b.num_rows - b.column("doc_id").null_count for b in out) == 1000
