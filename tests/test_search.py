@@ -1,10 +1,13 @@
 """Predicates, hybrid queries, collections, catalog."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import bm25, catalog, collection, fusion
 from sparkloom.operators.dense import HashEncoder
+from sparkloom.plans import registry
 from sparkloom.plans.predicate import FilterError, compile_filter, filtered
 from sparkloom.plans.search import Engine, Request, formatted, rows_of_batches, scope_requests
 
@@ -96,3 +99,37 @@ def test_catalog_rules(spark):
     assert not catalog.toggled(tools, 1).first().active
     with pytest.raises(ValueError):
         catalog.with_tool(tools, {"id": 2, "name": " "})
+
+
+def test_vectors_apart(spark, points):
+    """As with vectors in the collection: a vector of no point and a point without a vector have no place in the list."""
+    enc = HashEncoder(64)
+    within = points.withColumn("dense", F.when(F.col("id") != "2", F.col("dense")))
+    apart = within.select("id", "dense").where("dense is not null").unionByName(spark.createDataFrame([("9", enc.encode_query("programming language"))], "id string, dense array<float>"))
+    for query, where in (("programming language", None), ("cat", {"repo_name": "r"}), ("", {"n": 3})):
+        for_one = Engine(spark, {"codebase": within}, encode_query=enc.encode_query).candidates("codebase", query, enc.encode_query(query), 4, where)
+        for_two = Engine(spark, {"codebase": points.drop("dense")}, encode_query=enc.encode_query, vectors={"codebase": apart}).candidates("codebase", query, enc.encode_query(query), 4, where)
+        assert [tuple(r) for r in for_one.collect()] == [tuple(r) for r in for_two.collect()] != []
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, was)
+
+
+def dealt_out(df):
+    """The columns of each exchange by a key."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode)
+    return [set(re.findall(r"(\w+)#", columns)) for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning", plan)]
+
+
+@pytest.mark.parametrize("name", ["search"])
+def test_search_shuffles_no_texts(name, spark, sf, no_broadcast):
+    """Vectors that are too many to broadcast meet ids."""
+    found = dealt_out(registry.QUERIES[name](spark, sf))
+    assert found and not any(x & {"text", "document", "embedding", "dense"} for x in found)
