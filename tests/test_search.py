@@ -128,7 +128,7 @@ def dealt_out(df):
     return [set(re.findall(r"(\w+)#", columns)) for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning", plan)]
 
 
-@pytest.mark.parametrize("name", ["search", "search_words"])
+@pytest.mark.parametrize("name", ["search", "search_words", "k12_tool_text", "j6_hybrid", "j7_dense_only", "a20_search_rows"])
 def test_search_shuffles_no_texts(name, spark, sf, no_broadcast):
     """Vectors that are too many to broadcast meet ids."""
     found = dealt_out(registry.QUERIES[name](spark, sf))
